@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from sievework.llm.fingerprints import op5_fingerprints
 from sievework.llm.simhash_dedup import op10_simhash_near_dedup
+from sievework.llm.token_output import op7_token_output
 
 QUERIES = {
+    "op5_fingerprints": op5_fingerprints,
+    "op7_token_output": op7_token_output,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 ORACLE_SQL: dict[str, str] = {}
