@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from sievework.llm.fingerprints import op5_fingerprints
+from sievework.llm.language import op9_language
+from sievework.llm.quality import op6_quality
 from sievework.llm.simhash_dedup import op10_simhash_near_dedup
 from sievework.llm.token_output import op7_token_output
 
 QUERIES = {
     "op5_fingerprints": op5_fingerprints,
+    "op6_quality": op6_quality,
     "op7_token_output": op7_token_output,
+    "op9_language": op9_language,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 ORACLE_SQL: dict[str, str] = {}
