@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from sievework.llm.fingerprints import op5_fingerprints
 from sievework.llm.language import op9_language
+from sievework.llm.license_scan import op3_license_scan
 from sievework.llm.quality import op6_quality
 from sievework.llm.simhash_dedup import op10_simhash_near_dedup
 from sievework.llm.token_output import op7_token_output
 
 QUERIES = {
+    "op3_license_scan": op3_license_scan,
     "op5_fingerprints": op5_fingerprints,
     "op6_quality": op6_quality,
     "op7_token_output": op7_token_output,
