@@ -20,54 +20,72 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from sievework.llm.common import documents
-from sievework.plans.staging import stage_path
+from sievework.plans.staging import materialise, stage_path
 
 END_ID = 2
 #: Distinct words and pieces whose ids a Python worker remembers; at this many the memory starts anew.
 REMEMBERED = 800_000
-#: Outside these characters a text goes to the library whole: the fast way knows Latin letters only.
-_UNUSUAL = re.compile("[^\t\n\r\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-įı-ɏ]|<\\|")
+#: Latin-1 characters that Python and the library's rules surely see alike; a text with any other goes
+#: to the library whole. Left out: controls, no-break space, soft hyphen, superscripts and fractions.
+_PLAIN = b"\t\n\r" + bytes(range(0x20, 0x7F)) + bytes(i for i in range(0xA1, 0x100) if i not in (0xAD, 0xB2, 0xB3, 0xB9, 0xBC, 0xBD, 0xBE))
+_LOWER = "".join(map(chr, range(256))).translate({i: chr(i).lower() for i in range(256)}).encode("latin-1")
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|[0-9]|(?:[^\w\s]|_)+")
 
 
+def _plain(text: str) -> bytes | None:
+    """The text in lower case, in Latin-1, if all its characters are plain and it holds no special token."""
+    try:
+        data = text.encode("latin-1")
+    except UnicodeEncodeError:
+        return None
+    return None if data.translate(None, _PLAIN) or b"<|" in data else data.translate(_LOWER)
+
+
 class WordEncoder:
     """Encodes whole texts with a word-end BPE file of the tokenizers library.
 
     The file's rules cut a text at white space, and finer, before any merge, so each distinct piece
-    goes to the library once and its ids are remembered. Texts with characters whose case, composition or class
-    the rules and Python could see differently go to the library whole.
+    goes to the library once and its ids are remembered. Texts with characters whose case,
+    composition or class the rules and Python could see differently go to the library whole.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.library = Tokenizer.from_file(path)
+        self.library, self.bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.bare.normalizer = normalizers.Sequence([])  # its words are lower-cased and cut already
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         n = self.library.get_vocab_size(True)
         self.ends = np.array([(self.library.id_to_token(i) or "").endswith("</w>") for i in range(n)])
-        self.known: dict[str, bytes] = {}
-
-    def _learn(self, words: list[str]) -> None:
-        cut = [*map(_PIECES.findall, words)]
-        pieces = [p for p in set(chain.from_iterable(cut)) if p not in self.known]
+        self.known: dict[bytes, bytes] = {}
+
+    def _learn(self, words: list[bytes]) -> None:
+        single, cut = [], {}
+        for w in words:
+            text = w.decode("latin-1")
+            if text.isalpha():
+                single.append(text)
+            else:
+                cut[w] = _PIECES.findall(text)
+        more = {p for c in cut.values() for p in c}.difference(single)
+        pieces = single + [p for p in more if p.encode("latin-1") not in self.known]
         for at in range(0, len(pieces), 512):
             some = pieces[at : at + 512]
-            ids = np.array(self.library.encode(" ".join(some), add_special_tokens=False).ids, dtype="<u4")
+            ids = np.array(self.bare.encode(" ".join(some), add_special_tokens=False).ids, dtype="<u4")
             stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
             if len(stops) == len(some):
                 flat = ids.tobytes()
                 for w, s, e in zip(some, [0, *stops[:-1]], stops, strict=True):
-                    self.known[w] = flat[4 * s : 4 * e]
+                    self.known[w.encode("latin-1")] = flat[4 * s : 4 * e]
             else:
                 for w, e in zip(some, self.library.encode_batch(some, add_special_tokens=False), strict=True):
-                    self.known[w] = np.array(e.ids, dtype="<u4").tobytes()
-        get = self.known.__getitem__
-        for w, c in zip(words, cut, strict=True):
-            if len(c) > 1:
-                self.known[w] = b"".join(map(get, c))
+                    self.known[w.encode("latin-1")] = np.array(e.ids, dtype="<u4").tobytes()
+        for w, c in cut.items():
+            self.known[w] = b"".join([self.known[p.encode("latin-1")] for p in c])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        cut = [None if _UNUSUAL.search(t) else t.lower().split() for t in texts]
+        cut = [None if (t := _plain(x)) is None else t.split() for x in texts]
         seen = set(chain.from_iterable(w for w in cut if w))
         missing = [w for w in seen if w not in self.known]
         if len(self.known) + 2 * len(missing) > REMEMBERED:
@@ -162,7 +180,7 @@ def token_index(spark, path: str) -> DataFrame:
                 names=["doc_id", "part", "seq", "n_tokens", "ids_crc32"],
             )
 
-    rows = stored.select("doc_id", "part", "seq", "ids").mapInArrow(run, f"doc_id {kind}, part int, seq long, n_tokens long, ids_crc32 long")
+    rows = materialise(stored.select("doc_id", "part", "seq", "ids").mapInArrow(run, f"doc_id {kind}, part int, seq long, n_tokens long, ids_crc32 long"), "lengths")
     inside = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     local = rows.withColumn("within", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
