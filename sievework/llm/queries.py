@@ -5,7 +5,7 @@ from __future__ import annotations
 from sievework.llm.fingerprints import op5_fingerprints
 from sievework.llm.language import op9_language
 from sievework.llm.license_scan import op3_license_scan
-from sievework.llm import line_dedup, matroska, mixture
+from sievework.llm import lattice, line_dedup, matroska, mixture
 from sievework.llm.quality import op6_quality
 from sievework.llm.simhash_dedup import op10_simhash_near_dedup
 from sievework.llm.token_output import op7_token_output
@@ -14,6 +14,7 @@ QUERIES = {
     "op1_media_columns": matroska.op1_media_columns,
     "op2_mixture": mixture.op2_mixture,
     "op3_license_scan": op3_license_scan,
+    "op4_lattice_samples": lattice.op4_lattice_samples,
     "op5_fingerprints": op5_fingerprints,
     "op6_quality": op6_quality,
     "op7_token_output": op7_token_output,
