@@ -64,7 +64,7 @@ def checksum_validate(df: DataFrame, ctx: Context, column: str, scheme: str, mod
 
 def luhn_valid(digits: Column) -> Column:
     """Built-in check for cells of digits."""
-    return F.coalesce(F.luhn_check(digits), F.lit(False))
+    return F.coalesce(F.call_function("luhn_check", digits), F.lit(False))
 
 
 def aba_valid(digits: Column) -> Column:

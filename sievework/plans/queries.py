@@ -82,7 +82,7 @@ def empty_content(spark, sf_dir):
     return _events(filters.empty_content(rows(spark, sf_dir), CTX))
 
 
-@query(f"""WITH {ROWS}, g AS (SELECT k, occ, unnest(list_transform(range(1, len({WORDS}) - 1), i -> {WORDS}[i] || ' ' || {WORDS}[i + 1] || ' ' || {WORDS}[i + 2])) AS g FROM rows), c AS (SELECT k, occ, g, count(*) AS n FROM g GROUP BY ALL)
+@query(f"""WITH {ROWS}, g AS (SELECT k, occ, unnest(list_transform(range(1, len({WORDS}) - 1), lambda i: {WORDS}[i] || ' ' || {WORDS}[i + 1] || ' ' || {WORDS}[i + 2])) AS g FROM rows), c AS (SELECT k, occ, g, count(*) AS n FROM g GROUP BY ALL)
 SELECT k AS row_key, occ AS occurrence, 'ngram_repetition' AS reason_code, round(sum(CASE WHEN n > 1 THEN n ELSE 0 END) / sum(n), 6) AS statistic_value FROM c GROUP BY 1, 2 HAVING sum(CASE WHEN n > 1 THEN n ELSE 0 END) / sum(n) > 0.2""")
 def ngram_repetition(spark, sf_dir):
     return _events(filters.ngram_repetition(rows(spark, sf_dir), CTX, max_ratio=0.2))
@@ -122,7 +122,7 @@ def text_statistics(spark, sf_dir):
     return d.select("doc_id", *[F.round(filters.statistic(s, t), 6).alias(s) for s in ("text_len", "num_words", "alnum_ratio", "special_char_ratio")])
 
 
-@query("""WITH g AS (SELECT doc_id, unnest(list_transform(range(1, length(text) - 8), i -> text[i : i + 9])) AS g FROM documents WHERE length(text) BETWEEN 10 AND 2000), c AS (SELECT doc_id, g, count(*) AS n FROM g GROUP BY ALL)
+@query("""WITH g AS (SELECT doc_id, unnest(list_transform(range(1, length(text) - 8), lambda i: text[i : i + 9])) AS g FROM documents WHERE length(text) BETWEEN 10 AND 2000), c AS (SELECT doc_id, g, count(*) AS n FROM g GROUP BY ALL)
 SELECT doc_id, round(sum(CASE WHEN n > 1 THEN n ELSE 0 END) / sum(n), 6) AS char_rep_ratio FROM c GROUP BY 1""")
 def character_repetition(spark, sf_dir):
     d = table(spark, sf_dir, "documents").where(F.length("text").between(10, 2000))
@@ -236,8 +236,8 @@ def split_stratified(spark, sf_dir):
     return r.output.select(F.col(KEY).alias("row_key"), F.col(OCC).alias("occurrence"), F.col(SPLIT).alias("split"))
 
 
-@query(f"""WITH {ROWS}, u AS (SELECT '~0:' || text AS unit, count(*) AS size FROM rows GROUP BY 1), o AS (SELECT *, sum(size) OVER (ORDER BY sha256('7:' || unit), unit) - size AS at, sum(size) OVER () AS n FROM u)
-SELECT CASE WHEN at + size <= CAST(round_even(0.25 * n, 0) AS BIGINT) THEN 'test' ELSE 'train' END AS split, sum(size)::BIGINT AS n, count(*) AS units FROM o GROUP BY 1""")
+@query(f"""WITH {ROWS}, u AS (SELECT '~0:' || text AS unit, count(*) AS size FROM rows GROUP BY 1), o AS (SELECT *, sum(size) OVER (ORDER BY sha256('7:' || unit), unit) - size AS place, sum(size) OVER () AS n FROM u)
+SELECT CASE WHEN place + size <= CAST(round_even(0.25 * n, 0) AS BIGINT) THEN 'test' ELSE 'train' END AS split, sum(size)::BIGINT AS n, count(*) AS units FROM o GROUP BY 1""")
 def split_grouped(spark, sf_dir):
     r = selection.split(rows(spark, sf_dir), CTX, ("train", "test"), (0.75, 0.25), group_columns=("text",))
     return r.output.groupBy(F.col(SPLIT).alias("split")).agg(F.count("*").alias("n"), F.countDistinct("text").alias("units"))
@@ -456,12 +456,12 @@ def bootstrap_interval(spark, sf_dir):
     return reports.bootstrap_mean(d, "quality", "source", 400)
 
 
-@query(f"WITH g AS (SELECT lang, unnest(list_transform(range(1, len({WORDS})), i -> {WORDS}[i] || ' ' || {WORDS}[i + 1])) AS g FROM documents) SELECT lang, count(DISTINCT g) AS distinct_grams, count(*) AS grams, round(count(DISTINCT g) / count(*), 9) AS ratio FROM g GROUP BY 1")
+@query(f"WITH g AS (SELECT lang, unnest(list_transform(range(1, len({WORDS})), lambda i: {WORDS}[i] || ' ' || {WORDS}[i + 1])) AS g FROM documents) SELECT lang, count(DISTINCT g) AS distinct_grams, count(*) AS grams, round(count(DISTINCT g) / count(*), 9) AS ratio FROM g GROUP BY 1")
 def distinct_bigrams(spark, sf_dir):
     return reports.distinct_n(rows(spark, sf_dir), ["text"], 2, ["lang"]).withColumn("ratio", F.round("ratio", 9))
 
 
-@query("""WITH v AS (SELECT vec_id, list_transform(embedding::DOUBLE[], x -> x / sqrt(list_sum(list_transform(embedding::DOUBLE[], y -> y * y)))) AS v FROM embeddings), x AS (SELECT vec_id, generate_subscripts(v, 1) AS i, unnest(v) AS x FROM v), m AS (SELECT i, avg(x) AS m FROM x GROUP BY 1), c AS (SELECT list(m ORDER BY i) AS m FROM m)
+@query("""WITH v AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda y: y * y)))) AS v FROM embeddings), x AS (SELECT vec_id, generate_subscripts(v, 1) AS i, unnest(v) AS x FROM v), m AS (SELECT i, avg(x) AS m FROM x GROUP BY 1), c AS (SELECT list(m ORDER BY i) AS m FROM m)
 SELECT count(*) AS n, round(avg(1 - list_cosine_similarity(v, m)), 6) AS spread FROM v, c""")
 def centroid_spread(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("key"), F.col("embedding").alias("vector"))
@@ -482,7 +482,7 @@ def shared_histograms(spark, sf_dir):
     return reports.shared_histograms(d.where("lang = 'en'"), d.where("lang = 'fr'"), "n_chars").withColumnsRenamed({"rows_a": "n_a", "rows_b": "n_b"})
 
 
-_GRAM13 = "unnest(list_transform(range(1, len(w) - 11), i -> array_to_string(w[i : i + 12], ' ')))"
+_GRAM13 = "unnest(list_transform(range(1, len(w) - 11), lambda i: array_to_string(w[i : i + 12], ' ')))"
 
 
 @query(f"""WITH {ROWS}, b AS (SELECT DISTINCT {_GRAM13} AS g FROM (SELECT {WORDS} AS w FROM benchmark)), d AS (SELECT k, occ, {_GRAM13} AS g FROM (SELECT k, occ, {WORDS} AS w FROM rows))
@@ -525,7 +525,7 @@ def drop_leakage_pairs(spark, sf_dir):
 @query(f"WITH {ROWS} SELECT coalesce(source, '(empty)') AS value, count(*) AS n, max(label) AS top_label FROM rows WHERE label IS NOT NULL GROUP BY 1 HAVING count(*) >= 5 AND count(DISTINCT label) = 1")
 def extreme_values(spark, sf_dir):
     d = rows(spark, sf_dir, True).where("label is not null")
-    return reports.extreme_values(d, "source", "label", 5, 1.0).select("value", F.col("rows").alias("n"), "top_label")
+    return selection.extreme_values(d, "source", "label", 5, 1.0).select("value", F.col("rows").alias("n"), "top_label")
 
 
 @query()
@@ -550,16 +550,16 @@ def vector_clusters(spark, sf_dir):
     return reports.cluster_sizes(reports.vector_clusters(v, 8))
 
 
-@query("SELECT 'shipped' AS verdict_is, count(*) FILTER (top * 2 > n) AS n_rows, count(*) AS all_rows FROM (SELECT l_orderkey, max(c) AS top, sum(c) AS n FROM (SELECT l_orderkey, l_shipmode, count(*) AS c FROM lineitem GROUP BY ALL) GROUP BY 1)")
+@query("SELECT 'shipped' AS verdict_is, count(*) FILTER (top * 2 > n) AS n_rows, count(*) AS all_rows FROM (SELECT l_orderkey, max(c) AS top, sum(c) AS n FROM (SELECT l_orderkey, l_returnflag, count(*) AS c FROM lineitem GROUP BY ALL) GROUP BY 1)")
 def vote_census(spark, sf_dir):
-    c = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_shipmode").agg(F.count("*").alias("c")).groupBy("l_orderkey").agg(F.max("c").alias("top"), F.sum("c").alias("n"))
+    c = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_returnflag").agg(F.count("*").alias("c")).groupBy("l_orderkey").agg(F.max("c").alias("top"), F.sum("c").alias("n"))
     return c.agg(F.lit("shipped").alias("verdict_is"), F.count(F.when(F.col("top") * 2 > F.col("n"), 1)).alias("n_rows"), F.count("*").alias("all_rows"))
 
 
-@query("""WITH c AS (SELECT l_orderkey, l_shipmode AS v, count(*) AS n FROM lineitem GROUP BY ALL), t AS (SELECT l_orderkey, max(n) AS top, sum(n)::BIGINT AS votes FROM c GROUP BY 1), s AS (SELECT t.*, count(*) AS m, max(v) AS v FROM t JOIN c ON t.l_orderkey = c.l_orderkey AND c.n = t.top GROUP BY ALL)
+@query("""WITH c AS (SELECT l_orderkey, l_returnflag AS v, count(*) AS n FROM lineitem GROUP BY ALL), t AS (SELECT l_orderkey, max(n) AS top, sum(n)::BIGINT AS votes FROM c GROUP BY 1), s AS (SELECT t.*, count(*) AS m, max(v) AS v FROM t JOIN c ON t.l_orderkey = c.l_orderkey AND c.n = t.top GROUP BY ALL)
 SELECT l_orderkey, CASE WHEN m = 1 THEN v END AS verdict, votes, top = votes AS unanimous, m > 1 AS tie FROM s""")
 def vote(spark, sf_dir):
-    return reports.vote(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_shipmode").withColumnRenamed("row", "l_orderkey")
+    return reports.vote(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_returnflag").withColumnRenamed("row", "l_orderkey")
 
 
 @query("""WITH base AS (SELECT doc_id AS row_key, CASE WHEN quality = 1 THEN 'good' ELSE 'bad' END AS label FROM labels), dec AS (SELECT doc_id AS row_key, CASE WHEN doc_id % 5 = 0 THEN 'flag' WHEN doc_id % 5 = 1 THEN 'override' ELSE 'accept' END AS decision, CASE WHEN doc_id % 2 = 0 THEN 'operator' ELSE 'reviewer' END AS origin FROM labels WHERE doc_id % 3 = 0)
@@ -584,7 +584,7 @@ def trl_check(spark, sf_dir):
 
 
 @query("""WITH m AS (SELECT conv_id, list(role ORDER BY turn) AS r, list(text ORDER BY turn) AS t FROM conversations GROUP BY 1)
-SELECT CASE WHEN len(list_filter(r, x -> x NOT IN ('system', 'user', 'assistant', 'tool'))) > 0 THEN 'roles_known' WHEN len(list_filter(t, x -> length(trim(x)) = 0)) > 0 THEN 'contents_not_empty' WHEN list_contains(r[2:], 'system') THEN 'system_only_first' WHEN r[-1] <> 'assistant' THEN 'ends_with_assistant' ELSE 'ok' END AS rule, count(*) AS n FROM m GROUP BY 1""")
+SELECT CASE WHEN len(list_filter(r, lambda x: x NOT IN ('system', 'user', 'assistant', 'tool'))) > 0 THEN 'roles_known' WHEN len(list_filter(t, lambda x: length(trim(x)) = 0)) > 0 THEN 'contents_not_empty' WHEN list_contains(r[2:], 'system') THEN 'system_only_first' WHEN r[-1] <> 'assistant' THEN 'ends_with_assistant' ELSE 'ok' END AS rule, count(*) AS n FROM m GROUP BY 1""")
 def trl_validate(spark, sf_dir):
     r = chat.trl_validate(chats(spark, sf_dir), CTX, "sft")
     return r.events.groupBy(F.col("statistic_text").alias("rule")).agg(F.count("*").alias("n")).unionByName(r.output.agg(F.lit("ok").alias("rule"), F.count("*").alias("n")).where("n > 0"))
@@ -683,7 +683,7 @@ def pair_filter(spark, sf_dir):
 @query()
 def minimal_pairs(spark, sf_dir):
     d = _generated(spark, sf_dir).output
-    rec = d.where(F.col(ORIGIN) == "generated").select(F.col(KEY).alias("row_key"), F.col("_dw_parent_keys")[0].alias("seed_row_key"))
+    rec = d.where(F.col(ORIGIN) == "generated").select(F.col(KEY).alias("row_key"), F.get("_dw_parent_keys", F.lit(0)).alias("seed_row_key"))
     short = d.where(F.length("text") < 3000)
     r = generation.minimal_pair_scope(short, Context(("text",), inputs={"records": rec}), max_edit_words=2)
     return r.events.groupBy("reason_code").agg(F.count("*").alias("n")).unionByName(r.output.agg(F.lit("kept").alias("reason_code"), F.count("*").alias("n")))
