@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -10,7 +12,32 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 CRC_OF_ID = "crc32(cast(cast({c} as string) as binary))"
 
 
+#: Rows of an Arrow batch: whole texts of any length travel in them, twice as each task overlaps two.
+BATCH_ROWS = 2_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches of texts small in this session, so that executors stay within their memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
+@cache
+def _libc():
+    try:
+        return ctypes.CDLL("libc.so.6")
+    except OSError:
+        return None
+
+
+def release() -> None:
+    """Give freed memory back to the system when a task ends: Python workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    if _libc() is not None:
+        _libc().malloc_trim(0)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
@@ -40,5 +67,6 @@ def map_texts(
                 out = fn(b.column(0).to_pylist(), texts)
                 arrays = [c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, type=t) for c, t in zip(out, types, strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column(0), *arrays], names=names)
+        release()
 
     return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)

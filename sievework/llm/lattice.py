@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from sievework.llm.common import documents
+from sievework.llm.common import documents, release
 
 SPACE = "▁"
 _WORDS = re.compile(f"{SPACE}*[^{SPACE}\\n.,;:!?|]+|{SPACE}*[.,;:!?|]|{SPACE}+|\\n")
@@ -335,7 +335,7 @@ def decode(v: Vocabulary, ids: list[int]) -> str:
 _SCHEMA = "sample int, n_pieces long, logprob double, inclusion double, ids_crc32 long, exact boolean"
 
 
-def sample_segmentations(df: DataFrame, path: str, k: int = 2, alpha: float = 1.0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, chars: int = 3_000_000) -> DataFrame:
+def sample_segmentations(df: DataFrame, path: str, k: int = 2, alpha: float = 1.0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, chars: int = 1_500_000) -> DataFrame:
     """Up to k rows per row: id, sample (0 first), n_pieces, logprob, inclusion, ids_crc32, exact, and ids if asked.
 
     inclusion: the log probability that the segmentation is among the top k, given the value of the
@@ -370,6 +370,7 @@ def sample_segmentations(df: DataFrame, path: str, k: int = 2, alpha: float = 1.
                     arrays.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(cols[7]).astype(np.int32))).cast(ids_type))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
+        release()
 
     return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, {_SCHEMA}" + (", ids array<int>" if with_ids else ""))
 

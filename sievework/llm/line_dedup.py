@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from sievework.llm.common import documents
+from sievework.llm.common import documents, release
 from sievework.plans.staging import materialise
 
 MIN_WORDS = 8
@@ -71,6 +71,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
             columns = [b.column(i) for i in range(b.num_columns - 1)]
             columns[at] = pa.array(texts, type=b.schema.field(at).type)
             yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, type=pa.int64()), pa.array(spans, type=arrow_span)], names=[*b.schema.names[:-1], "n_units", "removed"])
+        release()
 
     return joined.mapInArrow(run, schema)
 
