@@ -20,6 +20,7 @@ other batches and other machines agree.
 from __future__ import annotations
 
 import functools
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -36,6 +37,9 @@ _WORDS = re.compile(f"{SPACE}*[^{SPACE}\\n.,;:!?|]+|{SPACE}*[.,;:!?|]|{SPACE}+|\
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x100000001B3, 0xC2B2AE3D27D4EB4F)]
 
 
+_64, _NONE = (1 << 64) - 1, np.empty(0, dtype=np.int64)
+
+
 def _mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * _M[1]
     h = (h ^ (h >> np.uint64(27))) * _M[2]
@@ -189,13 +193,13 @@ class Lattices:
         """(which, edges): a path from each state to its word's end; edges of one follow each other."""
         who, which, edges = np.flatnonzero(~self.done[states]), [], []
         who = who[np.argsort(states[who])]  # near states are near in memory
-        at, step = states[who], np.uint64(0)
+        at, step = states[who], 0
         while who.size:
-            e = np.searchsorted(self.cum, at + _uniform(seeds[who] + step * _M[0]), side="right")
+            e = np.searchsorted(self.cum, at + _uniform(seeds[who] + np.uint64(step * int(_M[0]) & _64)), side="right")
             e = np.minimum(e, self.start[at + 1] - 1)
             which.append(who)
             edges.append(e)
-            at, step = self.to[e], step + np.uint64(1)
+            at, step = self.to[e], step + 1
             more = ~self.done[at]
             who, at = who[more], at[more]
         if not which:
@@ -220,17 +224,30 @@ def row_seed(key: object) -> np.uint64:
     return np.uint64(zlib.crc32(raw) | zlib.crc32(b"lattice:" + raw) << 32)
 
 
-def _below(mass: np.ndarray, bound: float, e: np.ndarray) -> np.ndarray:
-    """Largest perturbed value of sets of log mass `mass`, given that it is under bound."""
-    with np.errstate(over="ignore", divide="ignore"):
-        return mass - np.log(np.exp(mass - bound) + e)
+def _below(mass: float, bound: float, u: float) -> float:
+    """Largest perturbed value of a set of that much log mass, given that it is under bound; u is uniform."""
+    if mass == -np.inf:
+        return -np.inf
+    return mass - math.log(math.exp(min(700.0, mass - bound)) - math.log(u))
+
+
+#: Steps whose log mass lies so far under the first one's cannot matter in double precision.
+_DEEP, _FIRST = -60.0, 256
 
 
 class _Path:
-    """One sample: its edges, the log probability before each, and the values of the sets that leave it."""
+    """One sample and the set of paths that leave it after its own steps begin.
+
+    head: the edges up to and including the one it left its parent by; tail: the edges after;
+    before: log probability up to each of the tail's first steps; mass: the probability of leaving
+    the path there; value: the largest perturbed value in that set.
+    """
+
+    __slots__ = ("head", "tail", "word", "before", "mass", "barred", "logp", "value", "after")
 
-    def __init__(self, edges, word, logp, value, rest, shared, barred):
-        self.edges, self.word, self.logp, self.value, self.rest, self.shared, self.barred = edges, word, logp, value, rest, shared, barred
+    def leave(self, bound: float, u: float) -> None:
+        total = float(self.mass.sum())
+        self.after = _below(math.log(total), bound, u) if total > 1e-300 else -np.inf
 
 
 def sample(v: Vocabulary, keys: list, texts: list[str], k: int, alpha: float) -> list[tuple[list[tuple[np.ndarray, float, float]], float]]:
@@ -238,95 +255,90 @@ def sample(v: Vocabulary, keys: list, texts: list[str], k: int, alpha: float) ->
 
     A segmentation is (ids, log probability, value). Fewer than k where the lattice has fewer paths,
     and then the next value is -inf; the empty text has one, without pieces.
+
+    The agenda of a text holds one set per found path. Popping the best draws the step at which the
+    new path leaves (by mass, since the argmax of Gumbel values falls so), the edge it leaves by, and
+    the rest forward; what remains of the popped set goes back, bounded by the popped value.
     """
     cut = [units(t) for t in texts]
     number = {w: i for i, w in enumerate(sorted(set(chain.from_iterable(cut))))}
     coded = [np.fromiter(map(number.__getitem__, c), dtype=np.int64, count=len(c)) for c in cut]
     lat = Lattices(v, list(number), alpha)
-    seeds = [_mix(np.array([row_seed(x)], dtype=np.uint64))[0] for x in keys]
+    seeds = [int(_mix(np.array([row_seed(x)], dtype=np.uint64))[0]) for x in keys]
     paths: list[list[_Path]] = [[] for _ in texts]
-    with np.errstate(over="ignore"):
-        for j in range(k):
-            salt = np.uint64(j + 1) * _M[4]
-            plans = []  # (text, first word drawn afresh, head edges, value, word of the head's last edge, state to go on from)
-            for i, c in enumerate(coded):
-                if not len(c):
-                    continue
-                if j == 0:
-                    value = float(-np.log(-np.log(_uniform(np.array([seeds[i] ^ salt]))[0])))
-                    plans.append((i, 0, None, value, None, None))
-                    continue
-                best = max(paths[i], key=lambda p: p.top, default=None)
-                if best is None or best.top == -np.inf:
-                    continue
-                s = best.at
-                value = float(best.rest[s])
-                best.rest[s] = -np.inf
-                edge = int(best.edges[s])
-                state = int(np.searchsorted(lat.start, edge, side="right") - 1)
-                barred = best.barred.get(s, ()) + (edge,)
-                open_ = np.array([e for e in range(lat.start[state], lat.start[state + 1]) if e not in barred])
-                p = np.exp(lat.logp[open_])
-                u = _uniform(np.array([seeds[i] ^ salt + np.uint64(s) * _M[1]]))[0] * p.sum()
-                new = int(open_[min(int(np.searchsorted(np.cumsum(p), u, side="right")), len(open_) - 1)])
-                best.touch()
-                plans.append((i, int(best.word[s]) + 1, np.append(best.edges[:s], new), value, (best, s, barred), int(lat.to[new])))
-            if not plans:
-                break
-            states, draws, owner, word = [], [], [], []
-            for q, (i, w, head, _, _, state) in enumerate(plans):
-                tail = np.arange(w, len(coded[i]))
-                first = lat.first[coded[i][w:]]
-                if state is not None:
-                    tail, first = np.append(w - 1, tail), np.append(state, first)
-                states.append(first)
-                word.append(tail)
-                owner.append(np.full(len(tail), q))
-                draws.append(seeds[i] ^ (salt + (tail.astype(np.uint64) + np.uint64(1)) * _M[2]))
-            states, word, owner, draws = map(np.concatenate, (states, word, owner, draws))
-            which, edges = lat.draw(states, draws)
-            own = owner[which]
-            ends = np.searchsorted(own, np.arange(len(plans) + 1))
-            for q, (i, _, head, value, parent, _) in enumerate(plans):
-                drawn, at = edges[ends[q] : ends[q + 1]], word[which[ends[q] : ends[q + 1]]]
-                shared, barred = 0, {}
-                if head is not None:
-                    best, s, bar = parent
-                    drawn, at = np.concatenate([head, drawn]), np.concatenate([best.word[: s + 1], at])
-                    shared, barred = s, {s: bar}
-                lp = lat.logp[drawn]
-                before = np.cumsum(lp) - lp
-                mass = before + lat.others[drawn]
-                if barred:
-                    left = 1 - np.exp(lat.logp[[*barred[shared], drawn[shared]]]).sum()
-                    mass[shared] = before[shared] + np.log(left) if left > 1e-9 else -np.inf
-                e = -np.log(_uniform(seeds[i] ^ (salt * _M[1] + np.arange(len(drawn), dtype=np.uint64) * _M[3])))
-                rest = _below(mass, value, e)
-                rest[:shared] = -np.inf
-                path = _Path(drawn, at, float(lp.sum()), value, rest, shared, barred)
-                _Path.touch(path)
-                paths[i].append(path)
+    uniform = lambda i, j, what: float(_uniform(np.array([(seeds[i] ^ ((j + 1) * int(_M[4]) + what * int(_M[1]))) & _64], dtype=np.uint64))[0])
+    for j in range(k):
+        plans = []  # (text, first word drawn afresh, head, head's log probability, value, state to go on from)
+        for i, c in enumerate(coded):
+            if not len(c):
+                continue
+            if j == 0:
+                plans.append((i, 0, None, 0.0, -math.log(-math.log(uniform(i, j, 1))), None))
+                continue
+            best = max(paths[i], key=lambda p: p.after)
+            if best.after == -np.inf:
+                continue
+            value = best.after
+            line = np.cumsum(best.mass)
+            t = min(int(np.searchsorted(line, uniform(i, j, 2) * line[-1], side="right")), len(line) - 1)
+            while best.mass[t] <= 0:
+                t -= 1
+            edge = int(best.tail[t])
+            state = int(np.searchsorted(lat.start, edge, side="right") - 1)
+            barred = best.barred.setdefault(t, [edge])
+            open_ = np.array([e for e in range(lat.start[state], lat.start[state + 1]) if e not in barred])
+            p = np.cumsum(np.exp(lat.logp[open_]))
+            new = int(open_[min(int(np.searchsorted(p, uniform(i, j, 3) * p[-1], side="right")), len(open_) - 1)])
+            barred.append(new)
+            left = p[-1] - math.exp(lat.logp[new]) if len(open_) > 1 else 0.0
+            best.mass[t] = math.exp(best.before[t]) * max(left, 0.0)
+            best.leave(value, uniform(i, j, 4))
+            plans.append((i, int(best.word[t]) + 1, np.concatenate([best.head, best.tail[:t], [new]]), float(best.before[t] + lat.logp[new]), value, int(lat.to[new])))
+        if not plans:
+            break
+        states, draws, owner, word = [], [], [], []
+        for q, (i, w, _, _, _, state) in enumerate(plans):
+            tail, first = np.arange(w, len(coded[i])), lat.first[coded[i][w:]]
+            if state is not None:
+                tail, first = np.append(w - 1, tail), np.append(state, first)
+            states.append(first)
+            word.append(tail)
+            owner.append(len(tail))
+            draws.append(np.uint64(seeds[i]) ^ (np.uint64((j + 1) * int(_M[4]) & _64) + (tail.astype(np.uint64) + np.uint64(1)) * _M[2]))
+        lengths = np.array(owner)
+        states, word, draws = map(np.concatenate, (states, word, draws))
+        which, edges = lat.draw(states, draws)
+        ends = np.searchsorted(which, np.concatenate([[0], np.cumsum(lengths)]))
+        at = word[which]
+        lp = lat.logp[edges]
+        line = np.cumsum(lp)
+        for q, (i, _, head, head_lp, value, _) in enumerate(plans):
+            s, e = int(ends[q]), int(ends[q + 1])
+            base = float(line[s - 1]) if s else 0.0
+            m = min(e, s + _FIRST)
+            before = line[s:m] - lp[s:m] + (head_lp - base)
+            if m < e and before[-1] > head_lp + _DEEP:
+                m = e
+                before = line[s:m] - lp[s:m] + (head_lp - base)
+            path = _Path()
+            path.head, path.tail, path.word, path.before, path.barred, path.value = head if head is not None else _NONE, edges[s:e], at[s:e], before, {}, value
+            path.mass = np.exp(before + lat.others[edges[s:m]])
+            path.logp = head_lp + (float(line[e - 1]) - base if e > s else 0.0)
+            path.leave(value, uniform(i, j, 5))
+            paths[i].append(path)
     out = []
     for i, c in enumerate(coded):
         found = []
         for p in paths[i]:
-            ids = lat.piece[p.edges]
-            if len(lat.spelled) and (ids < 0).any():
+            ids = lat.piece[np.concatenate([p.head, p.tail]) if len(p.head) else p.tail]
+            if len(lat.spelled) and len(ids) and ids.min() < 0:
                 ids = np.array([y for x in ids.tolist() for y in ([x] if x >= 0 else lat.spelled[-1 - x])], dtype=np.int32)
             found.append((ids, p.logp, p.value))
-        after = max((p.top for p in paths[i]), default=-np.inf)
+        after = max((p.after for p in paths[i]), default=-np.inf)
         out.append((found, after) if len(c) else ([(np.empty(0, dtype=np.int32), 0.0, 0.0)], -np.inf))
     return out
 
 
-def _touch(self) -> None:
-    self.at = int(self.rest.argmax()) if len(self.rest) else 0
-    self.top = float(self.rest[self.at]) if len(self.rest) else -np.inf
-
-
-_Path.touch = _touch
-
-
 def decode(v: Vocabulary, ids: list[int]) -> str:
     """The text of pieces: the space before the first word goes."""
     return b"".join(map(v.text.__getitem__, ids)).decode("utf-8", "surrogatepass")[1:]
