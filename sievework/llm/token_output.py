@@ -23,8 +23,9 @@ from sievework.llm.common import documents
 from sievework.plans.staging import materialise, stage_path
 
 END_ID = 2
-#: Distinct words and pieces whose ids a Python worker remembers; at this many the memory starts anew.
-REMEMBERED = 800_000
+#: Distinct words and pieces whose ids a Python worker remembers; at this many a new memory starts,
+#: which takes over what it needs from the one before.
+REMEMBERED = 500_000
 #: Latin-1 characters that Python and the library's rules surely see alike; a text with any other goes
 #: to the library whole. Left out: controls, no-break space, soft hyphen, superscripts and fractions.
 _PLAIN = b"\t\n\r" + bytes(range(0x20, 0x7F)) + bytes(i for i in range(0xA1, 0x100) if i not in (0xAD, 0xB2, 0xB3, 0xB9, 0xBC, 0xBD, 0xBE))
@@ -58,40 +59,53 @@ class WordEncoder:
         n = self.library.get_vocab_size(True)
         self.ends = np.array([(self.library.id_to_token(i) or "").endswith("</w>") for i in range(n)])
         self.known: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
 
     def _learn(self, words: list[bytes]) -> None:
-        single, cut = [], {}
+        """Remember the ids of words: a run of letters is one piece, one point or comma after it another."""
+        single, stopped, cut = [], [], {}
         for w in words:
-            text = w.decode("latin-1")
-            if text.isalpha():
-                single.append(text)
+            if w.isalpha():
+                single.append(w)
+            elif w[-1] in b".," and w[:-1].isalpha():
+                stopped.append(w)
+            elif (text := w.decode("latin-1")).isalpha():
+                single.append(w)
+            elif w[-1] in b".," and text[:-1].isalpha():
+                stopped.append(w)
             else:
-                cut[w] = _PIECES.findall(text)
-        more = {p for c in cut.values() for p in c}.difference(single)
-        pieces = single + [p for p in more if p.encode("latin-1") not in self.known]
+                cut[w] = [p.encode("latin-1") for p in _PIECES.findall(text)]
+        more = {w[:-1] for w in stopped}.union(*cut.values(), (b".", b",")).difference(single)
+        pieces = single + [p for p in more if p not in self.known]
         for at in range(0, len(pieces), 512):
             some = pieces[at : at + 512]
-            ids = np.array(self.bare.encode(" ".join(some), add_special_tokens=False).ids, dtype="<u4")
-            stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            ids = np.array(self.bare.encode(b" ".join(some).decode("latin-1"), add_special_tokens=False).ids, dtype="<u4")
+            stops = (np.flatnonzero(self.ends[ids]) * 4 + 4).tolist()
             if len(stops) == len(some):
                 flat = ids.tobytes()
-                for w, s, e in zip(some, [0, *stops[:-1]], stops, strict=True):
-                    self.known[w.encode("latin-1")] = flat[4 * s : 4 * e]
+                self.known.update(zip(some, [flat[s:e] for s, e in zip([0, *stops[:-1]], stops, strict=True)], strict=True))
             else:
-                for w, e in zip(some, self.library.encode_batch(some, add_special_tokens=False), strict=True):
-                    self.known[w.encode("latin-1")] = np.array(e.ids, dtype="<u4").tobytes()
+                for w, e in zip(some, self.library.encode_batch([w.decode("latin-1") for w in some], add_special_tokens=False), strict=True):
+                    self.known[w] = np.array(e.ids, dtype="<u4").tobytes()
+        known, ends = self.known, {b"."[0]: self.known[b"."], b","[0]: self.known[b","]}
+        for w in stopped:
+            known[w] = known[w[:-1]] + ends[w[-1]]
         for w, c in cut.items():
-            self.known[w] = b"".join([self.known[p.encode("latin-1")] for p in c])
+            known[w] = b"".join([known[p] for p in c])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         cut = [None if (t := _plain(x)) is None else t.split() for x in texts]
         seen = set(chain.from_iterable(w for w in cut if w))
-        missing = [w for w in seen if w not in self.known]
+        missing = seen.difference(self.known)
         if len(self.known) + 2 * len(missing) > REMEMBERED:
-            self.known.clear()
-            missing = list(seen)
-        self._learn(missing)
+            self.known, self.before, missing = {}, self.known, seen
+        if missing and self.before:
+            found = [w for w in missing if w in self.before]
+            self.known.update({w: self.before[w] for w in found})
+            missing = missing.difference(found)
+        if missing:
+            self._learn(list(missing))
         get = self.known.__getitem__
         whole = lambda t: np.array(self.library.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes()
         return [whole(t) if w is None else b"".join(map(get, w)) for t, w in zip(texts, cut, strict=True)]
