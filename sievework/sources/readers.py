@@ -32,10 +32,10 @@ def read_csv(spark: SparkSession, path: str, delimiter: str = ",", quote: str =
     names = reader.option("inferSchema", str(infer).lower()).csv(path).schema
     bad = "_corrupt_record"
     checked = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", bad).schema(names.add(bad, "string")).csv(path)
-    first = checked.where(F.col(bad).isNotNull()).select(bad).limit(1).collect()
+    first = checked.where(F.col(bad).isNotNull()).limit(1).collect()  # with its fields: the parser wants one of them
     if first:
-        raise Refused("upload_malformed", first[0][0][:200])
-    return checked.drop(bad)
+        raise Refused("upload_malformed", first[0][bad][:200])
+    return checked.drop(bad).fillna("")  # text columns: the format has no null
 
 
 def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
