@@ -222,11 +222,11 @@ def label_balancer(spark, sf_dir):
     return selection.label_balancer(d, CTX).output.select(F.col(KEY).alias("row_key"), F.col(OCC).alias("occurrence"))
 
 
-@query(f"""WITH {ROWS}, l AS (SELECT *, coalesce(lang, '(empty)') AS v FROM rows WHERE label IS NOT NULL AND coalesce(lang, '(empty)') <> 'es'), c AS (SELECT min(n) AS cap FROM (SELECT v, label, count(*) AS n FROM l GROUP BY ALL)), r AS (SELECT l.*, row_number() OVER (PARTITION BY v, label ORDER BY {DRAW}, k, occ) AS rn FROM l)
+@query(f"""WITH {ROWS}, l AS (SELECT *, CASE WHEN lang = 'en' THEN 'en' ELSE 'other' END AS v FROM rows WHERE label IS NOT NULL AND coalesce(lang, '') <> 'es'), c AS (SELECT min(n) AS cap FROM (SELECT v, label, count(*) AS n FROM l GROUP BY ALL)), r AS (SELECT l.*, row_number() OVER (PARTITION BY v, label ORDER BY {DRAW}, k, occ) AS rn FROM l)
 SELECT k AS row_key, occ AS occurrence FROM r, c WHERE rn <= cap""")
 def cell_balancer(spark, sf_dir):
-    d = rows(spark, sf_dir, True).where("label is not null")
-    return selection.cell_balancer(d, CTX, "lang", ["es"]).output.select(F.col(KEY).alias("row_key"), F.col(OCC).alias("occurrence"))
+    d = rows(spark, sf_dir, True).where("label is not null").withColumn("side", F.when(F.col("lang") == "en", "en").when(F.col("lang") == "es", "es").otherwise("other"))
+    return selection.cell_balancer(d, CTX, "side", ["es"]).output.select(F.col(KEY).alias("row_key"), F.col(OCC).alias("occurrence"))
 
 
 @query(f"""WITH {ROWS}, u AS (SELECT *, count(*) OVER (PARTITION BY coalesce(lang, '(empty)')) AS n, row_number() OVER (PARTITION BY coalesce(lang, '(empty)') ORDER BY sha256('7:' || k || ':' || occ), k || ':' || occ) AS rn FROM rows), t AS (SELECT *, CAST(round_even(0.2 * n, 0) AS BIGINT) AS a, CAST(round_even(0.1 * n, 0) AS BIGINT) AS b FROM u)
