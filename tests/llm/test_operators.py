@@ -350,6 +350,21 @@ def test_wide_groups_equal_brute_force(spark):
     assert sum(got[i] == find(i) for i in range(n)) >= 0.99 * n
 
 
+def test_wide_groups_inside_a_family(spark):
+    """Texts that share boilerplate stand in each other's lists; the copies of the last ones are found nevertheless."""
+    rng, n, copies = random.Random(12), 3000, 100
+    texts = [[f"b{i}" for i in range(150)] + [f"u{rng.randrange(10**9)}" for _ in range(50)] for _ in range(n)]
+    for i in range(copies):
+        c = list(texts[n - 1 - i])
+        for k in range(4):
+            c[150 + 12 * k + rng.randrange(12)] = f"e{rng.randrange(10**9)}"
+        texts.append(c)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    got = {r["id"]: r["group"] for r in simhash_wide.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i] == i for i in range(n))
+    assert sum(got[n + i] == n - 1 - i for i in range(copies)) >= 0.97 * copies
+
+
 @pytest.mark.parametrize("name", sorted(llm.ORACLE_SQL))
 def test_sql_gives_the_same_rows(spark, sf_dir, duck, name):
     assert same_rows(llm.QUERIES[name](spark, sf_dir).toPandas(), duck.sql(llm.ORACLE_SQL[name]).df())
