@@ -8,8 +8,10 @@ backward sums give the set's log mass, and the largest perturbed value in it fol
 and its parent's value alone, so the bound by which the search is ordered is exact and each pop
 yields the next sample. Within the popped set the path is drawn forward, edge by edge.
 
-Pieces never hold white space inside, so the lattice is a chain of small ones, one per word; the
-lattice of each distinct word is built once for a batch, by array operations over all words.
+Texts are cut before runs of spaces and around newlines, which no piece of the vocabulary crosses
+(checked when it is loaded; a vocabulary with such a piece is refused), so the lattice is a chain of
+small ones, one per word with its punctuation; the lattice of each distinct word is built once for a
+batch, by array operations over all words.
 
 The files' scores are merge ranks; the model takes a piece of rank r to have probability
 proportional to 1 / (r + 2), raised to alpha. Characters outside the vocabulary go by byte pieces.
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame, functions as F
 from sievework.llm.common import documents, release
 
 SPACE = "▁"
-_WORDS = re.compile(f"{SPACE}*[^{SPACE}\\n.,;:!?|]+|{SPACE}*[.,;:!?|]|{SPACE}+|\\n")
+_WORDS = re.compile(f"{SPACE}*[^{SPACE}\\n]+|{SPACE}+|\\n")
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x100000001B3, 0xC2B2AE3D27D4EB4F)]
 
 
@@ -72,6 +74,8 @@ class Vocabulary:
                 self.pieces.append(piece)
                 self.ids.append(i)
                 self.weight.append(-np.log(min(40_000, max(0, -s.get_score(i))) + 2))
+        if crossing := [p for p in self.pieces if len(_WORDS.findall(p)) > 1]:
+            raise ValueError(f"pieces that cross the cut between two units: {crossing[:5]}")
         self.byte_weight = float(-np.log(40_002))
         self.longest = max(map(len, self.pieces))
         keys = np.array([_key(p) for p in self.pieces], dtype=np.uint64)

@@ -172,6 +172,16 @@ def test_all_paths_come_when_few(spark):
     assert {tuple(x[0].tolist()) for x in found} == set(want) and after == -np.inf
 
 
+@pytest.mark.parametrize("text", ["a!!", "a...", "f),", "b ..."])
+def test_pieces_of_several_marks_are_edges(text):
+    v = lattice.vocabulary(VOCAB)
+    want = paths(v, text)
+    total = np.logaddexp.reduce(list(want.values()))
+    (found, after), = lattice.sample(v, ["k"], [text], len(want) + 5, 1.0)
+    got = {tuple(x[0].tolist()): x[1] for x in found}
+    assert set(got) == set(want) and after == -np.inf and all(abs(got[k] - (want[k] - total)) < 1e-6 for k in want)
+
+
 def test_decoding_gives_the_text(spark):
     r = lattice.sample_segmentations(odd(spark), VOCAB, 2, with_ids=True).collect()
     v = lattice.vocabulary(VOCAB)
