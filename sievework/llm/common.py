@@ -12,13 +12,19 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 CRC_OF_ID = "crc32(cast(cast({c} as string) as binary))"
 
 
-#: Rows of an Arrow batch: whole texts of any length travel in them, twice as each task overlaps two.
-BATCH_ROWS = 2_000
+#: Rows and bytes of an Arrow batch: whole texts of any length travel in them, twice as each task overlaps two.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches of texts small in this session, so that executors stay within their memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Bound this session's Arrow batches by rows and bytes, so that executors stay within their memory.
+
+    A value that the session has been given, other than Spark's own, stays.
+    """
+    given = spark.sparkContext.getConf()
+    for key, value in BATCHES.items():
+        if not given.contains(key):
+            spark.conf.set(key, value)
 
 
 @cache
