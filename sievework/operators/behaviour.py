@@ -124,6 +124,14 @@ def slot_siblings(df: DataFrame, ctx: Context, variants: dict[str, str], text_co
     return add_rows(base, new.drop("__v", KEY, OCC), ctx.content, "slot_sibling")
 
 
+def carrier_check(df: DataFrame, ctx: Context, run_column: str = "generation_run", id_column: str = "carrier_id", cell_column: str = "cell") -> StepResult:
+    """The check as a step: refused where check_carrier_ids() names an id, else the rows as they are."""
+    bad = check_carrier_ids(df, run_column, id_column, cell_column).orderBy(id_column).first()
+    if bad is not None:
+        raise Refused("carrier_id_shared", str(bad[0]))
+    return StepResult(df)
+
+
 def check_carrier_ids(df: DataFrame, run_column: str = "generation_run", id_column: str = "carrier_id", cell_column: str = "cell") -> DataFrame:
     """Ids held by rows of several runs whose cells differ or are unknown; the check is met by none."""
     require(df, run_column, id_column, cell_column, code="carrier_columns_missing")

@@ -92,7 +92,7 @@ def contract(df: DataFrame, target_type: str) -> list[tuple[str, Column]]:
         ok = lambda t: F.coalesce(t, F.lit(False))
         return [
             ("messages_not_empty", ok(F.size(m) > 0)), ("roles_known", ok(F.forall(m, lambda x: x["role"].isin("system", "user", "assistant", "tool")))),
-            ("contents_not_empty", ok(F.forall(m, lambda x: F.length(F.trim(x["content"])) > 0))), ("system_only_first", ok(~F.exists(F.slice(m, 2, 100_000), lambda x: x["role"] == "system"))),
+            ("contents_not_empty", ok(F.forall(m, lambda x: F.length(F.trim(x["content"])) > 0))), ("system_only_first", ok(~F.exists(F.slice(m, F.lit(2), F.greatest(F.size(m), F.lit(1))), lambda x: x["role"] == "system"))),
             ("ends_with_assistant", ok(F.element_at(m, -1)["role"] == "assistant")),
         ]
     if target_type == "sft":

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from sievework.plans.staging import materialise
+from sievework.plans.staging import discard, materialise
 
 
 def _summary(edges: DataFrame) -> tuple:
@@ -47,7 +47,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
             large.join(floor, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
             .unionByName(floor.select("u", F.col("m").alias("v"))).distinct()
         )
-        e = materialise(small, "edges")
+        last, e = e, materialise(small, "edges")
+        discard(last)
         after = _summary(e)
         if after == before:
             break

@@ -23,7 +23,7 @@ def add_rows(df: DataFrame, new: DataFrame, content, code: str) -> StepResult:
         if c not in new.columns and c not in (KEY, OCC):
             new = new.withColumn(c, F.lit("generated") if c == ORIGIN else F.lit(None).cast(df.schema[c].dataType))
     new = new.withColumn(KEY, row_key(new, content))
-    new = rank_within(new, [KEY], ["__order"], F.substring(F.sha2(F.col("__order").cast("string"), 256), 1, 0), "__place")
+    new = rank_within(new, [KEY], ["__order"], F.substring(F.col("__order").cast("string"), 1, 3), "__place")
     last = df.join(new.select(F.col(KEY).alias("__k")).distinct(), F.col(KEY) == F.col("__k"), "left_semi").groupBy(F.col(KEY).alias("__k")).agg((F.max(OCC) + 1).alias("__next"))
     new = new.join(last, F.col(KEY) == F.col("__k"), "left").withColumn(OCC, (F.col("__place") + F.coalesce("__next", F.lit(0))).cast("int")).select(*df.columns)
     return StepResult(df.unionByName(new), _added(new, code))
@@ -33,10 +33,11 @@ def generated_rows(df: DataFrame, ctx: Context, held_out: tuple = ("test",)) ->
     """Committed records of a run join the table: origin generated, split and parent of their seed.
 
     ctx.inputs['records']: (seed_row_key, record_no, user columns...). A record whose seed is not in
-    the table, or in a held-out split, is refused.
+    the table, or has a copy in a held-out split, is refused; of several other splits the first by name counts.
     """
     rec = ctx.inputs["records"]
-    seeds = df.groupBy(KEY).agg(F.first(SPLIT).alias("__split")).select(F.col(KEY).alias("seed_row_key"), "__split")
+    in_held_out = F.col(SPLIT).isin(*held_out)
+    seeds = df.groupBy(KEY).agg(F.coalesce(F.min(F.when(in_held_out, F.col(SPLIT))), F.min(SPLIT)).alias("__split")).select(F.col(KEY).alias("seed_row_key"), "__split")
     j = rec.join(seeds, "seed_row_key", "left")
     bad = j.agg(F.count(F.when(F.col("__split").isNull(), 1)).alias("a"), F.count(F.when(F.col("__split").isin(*held_out), 1)).alias("b")).first()
     if bad["a"]:
@@ -94,7 +95,7 @@ def pair_from_scores(df: DataFrame, ctx: Context, min_margin: float, prompt: str
     require(df, prompt, response, code="target_columns_missing")
     s = df.join(ctx.inputs["run"].select(F.col("row_key").alias("__k"), "score"), F.col(KEY) == F.col("__k"))
     pairs = best_and_worst(s.select(F.col(prompt).alias("prompt"), F.col(response).alias("response"), F.col(KEY).alias("row_key"), "score"), min_margin)
-    splits = df.groupBy(KEY).agg(F.first(SPLIT).alias("__s")).select(F.col(KEY).alias("chosen_key"), "__s")
+    splits = df.groupBy(KEY).agg(F.min(SPLIT).alias("__s")).select(F.col(KEY).alias("chosen_key"), "__s")
     new = pairs.join(splits, "chosen_key").select(F.col("prompt").alias(prompt), "chosen", "rejected", F.col("__s").alias(SPLIT), F.array("chosen_key", "rejected_key").alias(PARENTS), F.col("chosen_key").alias("__order"))
     base = df
     for c in ("chosen", "rejected"):
@@ -106,8 +107,15 @@ def pair_from_scores(df: DataFrame, ctx: Context, min_margin: float, prompt: str
 def edit_size(a: str, b: str, unit: str) -> int:
     """Characters or words that a sequence matcher finds changed."""
     from difflib import SequenceMatcher
+    from os.path import commonprefix
 
     x, y = (a, b) if unit == "chars" else (a.split(), b.split())
+    n = len(commonprefix([x, y]))
+    x, y = x[n:], y[n:]  # the matcher is quadratic, and edits are few
+    n = len(commonprefix([x[::-1], y[::-1]]))
+    x, y = x[: len(x) - n], y[: len(y) - n]
+    if not x or not y:
+        return max(len(x), len(y))
     return sum(max(i2 - i1, j2 - j1) for op, i1, i2, j1, j2 in SequenceMatcher(None, x, y, autojunk=False).get_opcodes() if op != "equal")
 
 

@@ -70,5 +70,5 @@ def luhn_valid(digits: Column) -> Column:
 def aba_valid(digits: Column) -> Column:
     """3-7-1 check of nine digits, without Python."""
     w = F.array(*[F.lit(x) for x in (3, 7, 1) * 3])
-    total = F.aggregate(F.zip_with(F.split(digits, ""), w, lambda d, x: F.expr("try_cast(1 as int)") * d.try_cast("int") * x), F.lit(0), lambda a, x: a + x)
+    total = F.aggregate(F.zip_with(F.split(digits, ""), w, lambda d, x: d.try_cast("int") * x), F.lit(0), lambda a, x: a + x)
     return F.coalesce(digits.rlike("^[0-9]{9}$") & (total % 10 == 0), F.lit(False))

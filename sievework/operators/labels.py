@@ -27,10 +27,11 @@ def threshold_labeler(df: DataFrame, ctx: Context, threshold_positive: float, th
 
 
 def top_label(scores: dict[str, Column], min_top: float) -> Column:
-    """The label with the largest score if that is at least min_top; ties go to the first declared."""
+    """The label with the largest score if that is at least min_top, else 'excluded'; ties go to the first
+    declared; null where no label has a score."""
     best = F.greatest(*scores.values())
     chosen = F.coalesce(*[F.when(c == best, F.lit(n)) for n, c in scores.items()])
-    return F.when(best >= min_top, chosen)
+    return F.when(best >= min_top, chosen).when(best.isNotNull(), "excluded")
 
 
 # The rule language: "value if cond and cond", conditions over columns.
@@ -87,10 +88,23 @@ def _text(v) -> str:
 
 
 def rule_label(df: DataFrame, ctx: Context, rules: Sequence[str], output_column: str = "label", default: str | None = None) -> StepResult:
-    """A column by the first rule whose conditions all hold, else default; @column copies a cell."""
+    """A column by the first rule whose conditions all hold, else default; @column copies a cell.
+
+    A rule's value is parsed and written by its text: true as 'True', null as 'None', 01 as '1'.
+    """
+    named = {"true": "True", "false": "False", "null": "None"}
+    return _rule_label(df, rules, output_column, default, lambda tok: named.get(tok[1].lower(), str(_literal(tok))) if tok[0] == "w" else str(_literal(tok)))
+
+
+def rule_label_v2(df: DataFrame, ctx: Context, rules: Sequence[str], output_column: str = "label", default: str | None = None) -> StepResult:
+    """rule_label with a rule's value as it is written: true is 'true', 01 is '01', quotes go, null is null."""
+    return _rule_label(df, rules, output_column, default, lambda tok: tok[1][1:-1] if tok[0] == "s" else None if tok[1].lower() == "null" else tok[1])
+
+
+def _rule_label(df: DataFrame, rules: Sequence[str], output_column: str, default: str | None, literal) -> StepResult:
     if output_column in df.columns:
         raise Refused("output_column_exists", output_column)
-    value = lambda tok: F.col(tok[1][1:]).cast("string") if tok[0] == "w" and tok[1].startswith("@") else F.lit(_text(_literal(tok)))
+    value = lambda tok: F.col(tok[1][1:]).cast("string") if tok[0] == "w" and tok[1].startswith("@") else F.lit(literal(tok)).cast("string")
     out = F.lit(default).cast("string")
     for rule in reversed(rules):
         t = _tokens(rule)
@@ -150,6 +164,19 @@ def regex_match(df: DataFrame, ctx: Context, column: str, pattern: str, ignore_c
     return StepResult(d.select(*df.columns, *[F.col("__m")[n].alias(f"{output_prefix}{n}") for n in ("matched", "count", "first", "start", "end", "spans")]))
 
 
+def regex_match_v2(df: DataFrame, ctx: Context, column: str, pattern: str, fold_fullwidth_ascii: bool, ignore_case: bool = False, max_spans: int = 100, output_prefix: str = "rx_") -> StepResult:
+    """regex_match with folding asked for in so many words: spans are found in the folded view, `first` is the
+    text as it stands, and a null cell holds no match, not even an empty one."""
+    r = regex_match(df, ctx, column, pattern, ignore_case, max_spans, "__rx_", fold_fullwidth_ascii)
+    gone, own = F.col(column).isNull(), {}
+    own["matched"] = F.col("__rx_matched") & ~gone
+    own["count"] = F.when(gone, 0).otherwise(F.col("__rx_count"))
+    own["first"] = F.when(~gone, F.substring(as_text(df, column), F.col("__rx_start") + 1, F.col("__rx_end") - F.col("__rx_start")))
+    own |= {n: F.when(~gone, F.col(f"__rx_{n}")) for n in ("start", "end")}
+    own["spans"] = F.when(gone, "[]").otherwise(F.col("__rx_spans"))
+    return StepResult(r.output.select(*df.columns, *[own[n].alias(f"{output_prefix}{n}") for n in ("matched", "count", "first", "start", "end", "spans")]))
+
+
 def phrase_proximity(df: DataFrame, ctx: Context, column: str, phrases: Sequence[str], anchor_start_column: str, anchor_end_column: str, max_distance_bytes: int = 100, case_sensitive: bool = False, output_prefix: str = "pp_") -> StepResult:
     """The phrase nearest to the anchor span and the gap between them in UTF-8 bytes; overlap is 0.
 

@@ -224,22 +224,28 @@ def shared_histograms(a: DataFrame, b: DataFrame, column: str, bins: int = 30) -
 
 
 def logical_digest(df: DataFrame) -> DataFrame:
-    """Order-free digest of the pairs: count and xor of their hashes; equal tables, equal digests."""
-    return df.agg(F.count("*").alias("rows"), F.bit_xor(F.xxhash64(KEY, OCC)).alias("digest"))
+    """Order-free digest of the pairs: count, xor and sum of their hashes; equal tables, equal digests.
+
+    Equal pairs cancel each other in the xor and not in the sum.
+    """
+    h = F.xxhash64(KEY, OCC)
+    return df.agg(F.count("*").alias("rows"), F.bit_xor(h).alias("digest"), F.sum(h.cast("decimal(38,0)")).cast("string").alias("total"))
 
 
 def contamination(df: DataFrame, content: list[str], benchmark: DataFrame, n: int = 13) -> DataFrame:
     """(key, occurrence, grams, hits, overlap, item): the share of a row's n-grams that the benchmark
     holds, and the item that shares most of its distinct ones.
 
-    benchmark: (item_id, text). Its distinct grams meet the rows' by hash join; rows without a hit
-    leave before anything is counted per row, and texts never move.
+    benchmark: (item_id, text). Grams meet as 64-bit hashes first, beside a hash of the row, so that
+    neither texts nor grams move; only rows with a hit are then joined by the grams themselves.
     """
     b = benchmark.select("item_id", F.explode(F.array_distinct(ngrams(words(F.coalesce("text", F.lit(""))), n))).alias("g")).select("item_id", F.xxhash64("g").alias("h"), "g")
     items = b.groupBy("g").agg(F.count("*").alias("m"))
     base = df.select(KEY, OCC, ngrams(words(content_text(df, content)), n).alias("gs"))
     total = base.select(KEY, OCC, F.size("gs").alias("grams"))
-    each = base.select(KEY, OCC, F.explode("gs").alias("g"))
+    row = F.xxhash64(KEY, OCC).alias("r")
+    met = base.select(row, F.explode(F.transform("gs", lambda g: F.xxhash64(g))).alias("h")).join(b.select("h").distinct(), "h").select(F.col("r").alias("__r")).distinct()
+    each = base.join(materialise(met, "met"), F.xxhash64(KEY, OCC) == F.col("__r"), "left_semi").select(KEY, OCC, F.explode("gs").alias("g"))
     hit = materialise(each.join(items.select("g"), "g").groupBy(KEY, OCC, "g").agg(F.count("*").alias("c")), "hits")
     hits = hit.groupBy(KEY, OCC).agg(F.sum("c").alias("hits"))
     best = hit.join(b.select("item_id", "g"), "g").groupBy(KEY, OCC, "item_id").agg(F.count("*").alias("shared")).groupBy(KEY, OCC).agg(F.max_by("item_id", F.struct("shared", -F.col("item_id"))).alias("item"))
@@ -418,22 +424,33 @@ def vote(df: DataFrame, row: str, verdict: str) -> DataFrame:
 
 
 def effective_labels(rows: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Rows with decisions folded in: the latest flag of anyone, or decision of an operator, counts.
+    """Rows with decisions folded in, oldest first: the last flag of anyone, or decision of an operator, counts.
 
-    decisions: (row_key, decision flag|override|accept|reject, origin, value, at). A flagged row is
-    unresolved; an override replaces the label.
+    decisions: (row_key, decision flag|override|accept|reject, origin, value, at, and id where times may
+    be equal). flag: flagged_unresolved, without a label; override: overridden, with the decision's;
+    reject: rejected, without one; accept, or no decision: model, with the row's own.
     """
-    w = Window.partitionBy("row_key").orderBy(F.desc("at"))
-    last = decisions.where("decision = 'flag' or origin = 'operator'").withColumn("r", F.row_number().over(w)).where("r = 1")
-    d = rows.join(last.select("row_key", "decision", "value"), "row_key", "left")
-    return d.select(*rows.columns, F.when(F.col("decision") == "flag", "flagged_unresolved").when(F.col("decision").isNotNull(), F.col("decision")).otherwise("none").alias("state"), F.when(F.col("decision") == "override", F.col("value")).otherwise(F.col("label")).alias("effective_label"))
+    order = F.struct("at", *[c for c in ("id",) if c in decisions.columns], "decision", "value")
+    counted = decisions.where("decision in ('flag', 'override', 'accept', 'reject') and (decision = 'flag' or origin = 'operator')")
+    last = counted.groupBy("row_key").agg(F.max_by(F.struct("decision", "value"), order).alias("__last"))
+    d, what = rows.join(last, "row_key", "left"), F.col("__last.decision")
+    state = F.when(what == "flag", "flagged_unresolved").when(what == "override", "overridden").when(what == "reject", "rejected").otherwise("model")
+    label = F.when(what == "override", F.col("__last.value")).when(what.isin("flag", "reject"), F.lit(None)).otherwise(F.col("label"))
+    return d.select(*rows.columns, state.alias("state"), label.alias("effective_label"))
 
 
 def row_history(events: list[tuple[str, DataFrame]], key: str) -> DataFrame:
-    """Events that touched a row across steps, walking back through changed keys; bounded by the steps."""
-    keys, found = [key], []
+    """Events that touched a row across steps, walking back through changed keys; bounded by the steps.
+
+    The keys so far are a table that each step's events meet by join, so a row that many were
+    normalised into has all their events.
+    """
+    if not events:
+        raise Refused("params_invalid", "no steps")
+    keys, found = events[0][1].sparkSession.createDataFrame([(key,)], "__k string"), []
     for step, ev in reversed(events):
-        hit = ev.where(F.col("row_key").isin(keys) | F.col("new_row_key").isin(keys)).withColumn("step", F.lit(step))
+        old, new = ev.join(keys, F.col("row_key") == F.col("__k"), "left_semi"), ev.join(keys, F.col("new_row_key") == F.col("__k"), "left_semi")
+        hit = materialise(old.unionByName(new.join(keys, F.col("row_key") == F.col("__k"), "left_anti")).withColumn("step", F.lit(step)), "history")
         found.append(hit)
-        keys += [r[0] for r in hit.where("kind = 'changed'").select("row_key").distinct().limit(1_000).collect()]
+        keys = materialise(keys.unionByName(hit.where("kind = 'changed'").select(F.col("row_key").alias("__k"))).where("__k is not null").distinct(), "keys")
     return reduce(DataFrame.unionByName, found)

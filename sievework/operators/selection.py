@@ -213,7 +213,7 @@ def label_balancer(df: DataFrame, ctx: Context, label_column: str = "label", cla
     if classes:
         d = d.where(F.col("__l").isin(classes))
     counts = d.groupBy(SPLIT, "__l").agg(F.count("*").alias("__n"))
-    n = counts.groupBy(SPLIT).agg(F.count("*").alias("c"), F.min("c" if False else "__n").alias("low")).agg(F.min("c").alias("c")).first()["c"]
+    n = counts.groupBy(SPLIT).agg(F.count("*").alias("c"), F.min("__n").alias("low")).agg(F.min("c").alias("c")).first()["c"]
     if (n or 0) < 2 or (classes and n < len(classes)):
         raise Refused("single_class")
     cap = counts.groupBy(F.col(SPLIT).alias("__sp")).agg(F.min("__n").alias("__cap"))

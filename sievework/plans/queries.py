@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from sievework.operators import behaviour, chat, filters, generation, identifier_ops, labels, reports, selection
+from sievework.operators import audits, behaviour, chat, filters, generation, identifier_ops, labels, reports, selection
 from sievework.operators.rows import KEY, OCC, ORIGIN, SPLIT, Context, assemble, conservation, content_text, draw, ngrams, rank_within, words
 from sievework.plans import recipe
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 CTX = Context(("text",), seed=7)
+#: A similarity that some pairs of the embeddings table reach.
+COSINE = 0.4
 
 
 def query(sql: str | None = None):
@@ -77,9 +79,13 @@ def length_band_words(spark, sf_dir):
     return _events(filters.length_band(rows(spark, sf_dir), CTX, unit="words", min_length=50, max_length=1000))
 
 
-@query(f"WITH {ROWS} SELECT k AS row_key, occ AS occurrence, 'empty_content' AS reason_code, 0.0::DOUBLE AS statistic_value FROM rows WHERE length({_STRIP}) = 0 OR text IS NULL")
+@query("SELECT split, n_blank, n_kept FROM (SELECT CASE WHEN doc_id % 10 = 0 THEN 'test' ELSE 'train' END AS split, count(*) FILTER (doc_id % 25 IN (0, 1) OR length(regexp_replace(coalesce(text, ''), '\\s', '', 'g')) = 0) AS n_blank, count(*) FILTER (NOT (doc_id % 25 IN (0, 1) OR length(regexp_replace(coalesce(text, ''), '\\s', '', 'g')) = 0)) AS n_kept FROM documents GROUP BY 1)")
 def empty_content(spark, sf_dir):
-    return _events(filters.empty_content(rows(spark, sf_dir), CTX))
+    """Some texts are blanked or made null first, as the table has few of either."""
+    text = F.when(F.col("doc_id") % 25 == 0, " \n\t").when(F.col("doc_id") % 25 == 1, F.lit(None)).otherwise(F.col("text"))
+    r = filters.empty_content(rows(spark, sf_dir).withColumn("text", text), CTX)
+    count = lambda d, c, n: d.groupBy(F.col(c).alias("split")).agg(F.count("*").alias(n))
+    return count(r.events, "split", "n_blank").join(count(r.output, SPLIT, "n_kept"), "split")
 
 
 @query(f"""WITH {ROWS}, g AS (SELECT k, occ, unnest(list_transform(range(1, len({WORDS}) - 1), lambda i: {WORDS}[i] || ' ' || {WORDS}[i + 1] || ' ' || {WORDS}[i + 2])) AS g FROM rows), c AS (SELECT k, occ, g, count(*) AS n FROM g GROUP BY ALL)
@@ -116,17 +122,20 @@ def feature_filter(spark, sf_dir):
     return r.events.groupBy("reason_code").agg(F.count("*").alias("n")).unionByName(r.output.agg(F.lit("kept").alias("reason_code"), F.count("*").alias("n")))
 
 
-@query("""SELECT doc_id, length(text)::DOUBLE AS text_len, len(regexp_extract_all(text, '[^ \\t\\n\\x0b\\f\\r]+'))::DOUBLE AS num_words, round(length(regexp_replace(text, '[^\\p{L}\\p{N}]', '', 'g')) / length(text), 6) AS alnum_ratio, round(length(regexp_replace(text, '[\\p{L}\\p{N} \\t\\n\\x0b\\f\\r]', '', 'g')) / length(text), 6) AS special_char_ratio FROM documents WHERE length(text) > 0""")
+@query("""SELECT doc_id, length(t)::DOUBLE AS text_len, len(regexp_extract_all(t, '[^ \\t\\n\\x0b\\f\\r]+'))::DOUBLE AS num_words, CASE WHEN t = '' THEN 0 ELSE round(length(regexp_replace(t, '[^\\p{L}\\p{N}]', '', 'g')) / length(t), 6) END AS alnum_ratio, CASE WHEN t = '' THEN 0 ELSE round(length(regexp_replace(t, '[\\p{L}\\p{N} \\t\\n\\x0b\\f\\r]', '', 'g')) / length(t), 6) END AS special_char_ratio FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)""")
 def text_statistics(spark, sf_dir):
-    d, t = table(spark, sf_dir, "documents").where(F.length("text") > 0), F.col("text")
+    d, t = table(spark, sf_dir, "documents"), F.coalesce("text", F.lit(""))
     return d.select("doc_id", *[F.round(filters.statistic(s, t), 6).alias(s) for s in ("text_len", "num_words", "alnum_ratio", "special_char_ratio")])
 
 
-@query("""WITH g AS (SELECT doc_id, unnest(list_transform(range(1, length(text) - 8), lambda i: text[i : i + 9])) AS g FROM documents WHERE length(text) BETWEEN 10 AND 2000), c AS (SELECT doc_id, g, count(*) AS n FROM g GROUP BY ALL)
-SELECT doc_id, round(sum(CASE WHEN n > 1 THEN n ELSE 0 END) / sum(n), 6) AS char_rep_ratio FROM c GROUP BY 1""")
+REPEATED = """g AS (SELECT doc_id, unnest(list_transform(range(1, length(text) - 8), lambda i: text[i : i + 9])) AS g FROM documents), c AS (SELECT doc_id, g, count(*) AS n FROM g GROUP BY ALL),
+ratio AS (SELECT d.doc_id, coalesce(r, 0.0) AS r FROM documents d LEFT JOIN (SELECT doc_id, sum(CASE WHEN n > 1 THEN n ELSE 0 END) / sum(n) AS r FROM c GROUP BY 1) USING (doc_id))"""
+
+
+@query(f"WITH {REPEATED} SELECT doc_id, round(r, 6) AS char_rep_ratio FROM ratio")
 def character_repetition(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where(F.length("text").between(10, 2000))
-    return d.select("doc_id", F.round(filters.statistic("char_rep_ratio", F.col("text")), 6).alias("char_rep_ratio"))
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.round(filters.statistic("char_rep_ratio", F.coalesce("text", F.lit(""))), 6).alias("char_rep_ratio"))
 
 
 for _name, (_stat_name, _low, _high) in filters.STATISTIC_FILTERS.items():
@@ -135,6 +144,7 @@ for _name, (_stat_name, _low, _high) in filters.STATISTIC_FILTERS.items():
         return r.output.agg(F.lit("kept").alias("what"), F.count("*").alias("n")).unionByName(r.events.agg(F.lit("dropped").alias("what"), F.count("*").alias("n")))
 
     QUERIES[_name] = _one
+SQL["character_repetition_filter"] = f"WITH {REPEATED} SELECT CASE WHEN r <= 0.3 THEN 'kept' ELSE 'dropped' END AS what, count(*) AS n FROM ratio GROUP BY 1"
 SQL["text_length_filter"] = "SELECT CASE WHEN length(text) BETWEEN 100 AND 5000 THEN 'kept' ELSE 'dropped' END AS what, count(*) AS n FROM documents GROUP BY 1"
 SQL["words_num_filter"] = "SELECT CASE WHEN len(regexp_extract_all(text, '[^ \\t\\n\\x0b\\f\\r]+')) BETWEEN 20 AND 800 THEN 'kept' ELSE 'dropped' END AS what, count(*) AS n FROM documents GROUP BY 1"
 SQL["alphanumeric_filter"] = "SELECT CASE WHEN length(regexp_replace(text, '[^\\p{L}\\p{N}]', '', 'g')) / length(text) >= 0.7 THEN 'kept' ELSE 'dropped' END AS what, count(*) AS n FROM documents GROUP BY 1"
@@ -185,17 +195,10 @@ def dedup_minhash(spark, sf_dir):
     return selection.dedup_minhash(rows(spark, sf_dir), CTX).events.select("row_key", "occurrence", "related_row_key")
 
 
-@query("""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.e, b.e), 6) AS cosine FROM v a JOIN v b ON a.vec_id < b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9""")
+@query(f"""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.e, b.e), 6) AS cosine FROM v a JOIN v b ON a.vec_id < b.vec_id AND list_cosine_similarity(a.e, b.e) >= {COSINE}""")
 def embedding_pairs(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("key"), F.col("embedding").alias("vector"))
-    return selection.cosine_pairs(v, 0.9).select("a", "b", F.round("cosine", 6).alias("cosine"))
-
-
-@query()
-def dedup_embedding(spark, sf_dir):
-    d = rows(spark, sf_dir)
-    v = table(spark, sf_dir, "embeddings").join(d.select("doc_id", F.col(KEY).alias("key")), F.col("vec_id") == F.col("doc_id")).groupBy("key").agg(F.first("embedding").alias("vector"))
-    return selection.dedup_embedding(d, Context(("text",), inputs={"vectors": v}), 0.9).events.select("row_key", "occurrence", "related_row_key")
+    return selection.cosine_pairs(v, COSINE).select("a", "b", F.round("cosine", 6).alias("cosine"))
 
 
 @query(f"WITH {ROWS} SELECT k AS row_key, occ AS occurrence FROM (SELECT *, row_number() OVER (ORDER BY {DRAW}, k, occ) AS rn FROM rows) WHERE rn <= 300")
@@ -319,7 +322,7 @@ def rule_set(spark, sf_dir):
 
 @query()
 def learn_phrases(spark, sf_dir):
-    return labels.learn_phrases(rows(spark, sf_dir, True), "text", "quality", "0", rounds=4)
+    return labels.learn_phrases(rows(spark, sf_dir), "text", "lang", "fr", rounds=4)
 
 
 @query()
@@ -508,8 +511,7 @@ def leakage_check(spark, sf_dir):
 @query()
 def leakage_near(spark, sf_dir):
     d = rows(spark, sf_dir)
-    sig = selection.minhash_signatures(d, content_text(d, ["text"]), "word", 5, 128).select(KEY, "__sig")
-    return reports.leakage(d, ["text"], None, selection.minhash_pairs(sig, KEY, 0.8, 128))
+    return reports.leakage(d, ["text"], None, recipe.near_pairs(d, ["text"]))
 
 
 @query(f"""WITH {ROWS}, p AS (SELECT DISTINCT a.k FROM rows a JOIN rows b ON a.source = b.source AND a.lang = b.lang AND a.split = 'train' AND b.split = 'test' AND a.n_chars = b.n_chars) SELECT split, count(*) AS n FROM rows LEFT JOIN p USING (k) WHERE NOT (split = 'train' AND p.k IS NOT NULL) GROUP BY 1""")
@@ -550,10 +552,10 @@ def vector_clusters(spark, sf_dir):
     return reports.cluster_sizes(reports.vector_clusters(v, 8))
 
 
-@query("SELECT 'shipped' AS verdict_is, count(*) FILTER (top * 2 > n) AS n_rows, count(*) AS all_rows FROM (SELECT l_orderkey, max(c) AS top, sum(c) AS n FROM (SELECT l_orderkey, l_returnflag, count(*) AS c FROM lineitem GROUP BY ALL) GROUP BY 1)")
+@query("""WITH c AS (SELECT l_orderkey, l_returnflag AS v, count(*) AS n FROM lineitem GROUP BY ALL), t AS (SELECT l_orderkey, max(n) AS top, sum(n) AS votes FROM c GROUP BY 1), s AS (SELECT t.*, count(*) AS m, max(v) AS v FROM t JOIN c ON t.l_orderkey = c.l_orderkey AND c.n = t.top GROUP BY ALL)
+SELECT CASE WHEN m = 1 THEN v END AS verdict, top = votes AS unanimous, m > 1 AS tie, count(*) AS n_rows FROM s GROUP BY ALL""")
 def vote_census(spark, sf_dir):
-    c = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_returnflag").agg(F.count("*").alias("c")).groupBy("l_orderkey").agg(F.max("c").alias("top"), F.sum("c").alias("n"))
-    return c.agg(F.lit("shipped").alias("verdict_is"), F.count(F.when(F.col("top") * 2 > F.col("n"), 1)).alias("n_rows"), F.count("*").alias("all_rows"))
+    return reports.vote(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_returnflag").groupBy("verdict", "unanimous", "tie").agg(F.count("*").alias("n_rows"))
 
 
 @query("""WITH c AS (SELECT l_orderkey, l_returnflag AS v, count(*) AS n FROM lineitem GROUP BY ALL), t AS (SELECT l_orderkey, max(n) AS top, sum(n)::BIGINT AS votes FROM c GROUP BY 1), s AS (SELECT t.*, count(*) AS m, max(v) AS v FROM t JOIN c ON t.l_orderkey = c.l_orderkey AND c.n = t.top GROUP BY ALL)
@@ -562,13 +564,23 @@ def vote(spark, sf_dir):
     return reports.vote(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_returnflag").withColumnRenamed("row", "l_orderkey")
 
 
-@query("""WITH base AS (SELECT doc_id AS row_key, CASE WHEN quality = 1 THEN 'good' ELSE 'bad' END AS label FROM labels), dec AS (SELECT doc_id AS row_key, CASE WHEN doc_id % 5 = 0 THEN 'flag' WHEN doc_id % 5 = 1 THEN 'override' ELSE 'accept' END AS decision, CASE WHEN doc_id % 2 = 0 THEN 'operator' ELSE 'reviewer' END AS origin FROM labels WHERE doc_id % 3 = 0)
-SELECT CASE WHEN decision = 'flag' THEN 'flagged_unresolved' ELSE coalesce(decision, 'none') END AS state, CASE WHEN decision = 'override' THEN 'fixed' ELSE label END AS effective_label, count(*) AS n FROM base LEFT JOIN (SELECT * FROM dec WHERE decision = 'flag' OR origin = 'operator') USING (row_key) GROUP BY 1, 2""")
-def effective_labels(spark, sf_dir):
+DECISIONS = """base AS (SELECT doc_id AS row_key, CASE WHEN quality = 1 THEN 'good' ELSE 'bad' END AS label FROM labels), dec AS (SELECT doc_id AS row_key, s AS turn, ['flag', 'override', 'accept', 'reject'][(doc_id * 7 + s * 3) % 4 + 1] AS decision, CASE WHEN (doc_id + s) % 3 = 0 THEN 'agent' ELSE 'operator' END AS origin, 'fixed ' || s AS value FROM labels, range(0, 3) t(s) WHERE doc_id % 5 <> 0),
+folded AS (SELECT row_key, arg_max(decision, turn) AS decision, arg_max(value, turn) AS value FROM dec WHERE decision = 'flag' OR origin = 'operator' GROUP BY 1),
+effective AS (SELECT row_key, CASE decision WHEN 'flag' THEN 'flagged_unresolved' WHEN 'override' THEN 'overridden' WHEN 'reject' THEN 'rejected' ELSE 'model' END AS state, CASE WHEN decision = 'override' THEN value WHEN decision IN ('flag', 'reject') THEN NULL ELSE label END AS effective_label, label FROM base LEFT JOIN folded USING (row_key))"""
+
+
+def decided(spark, sf_dir) -> DataFrame:
+    """Labels with three decisions each, of people and agents, folded."""
     lab = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("row_key"), F.when(F.col("quality") == 1, "good").otherwise("bad").alias("label"))
-    k = F.col("row_key")
-    dec = lab.where(k % 3 == 0).select("row_key", F.when(k % 5 == 0, "flag").when(k % 5 == 1, "override").otherwise("accept").alias("decision"), F.when(k % 2 == 0, "operator").otherwise("reviewer").alias("origin"), F.lit("fixed").alias("value"), F.lit(1).alias("at"))
-    return reports.effective_labels(lab, dec).groupBy("state", "effective_label").agg(F.count("*").alias("n"))
+    k, s = F.col("row_key"), F.col("at")
+    dec = lab.where(k % 5 != 0).select("row_key", F.explode(F.array(*[F.lit(i) for i in range(3)])).alias("at"))
+    dec = dec.select("row_key", "at", F.element_at(F.array(*[F.lit(x) for x in ("flag", "override", "accept", "reject")]), ((k * 7 + s * 3) % 4 + 1).cast("int")).alias("decision"), F.when((k + s) % 3 == 0, "agent").otherwise("operator").alias("origin"), F.concat(F.lit("fixed "), s.cast("string")).alias("value"))
+    return reports.effective_labels(lab, dec)
+
+
+@query(f"WITH {DECISIONS} SELECT state, effective_label, count(*) AS n FROM effective GROUP BY 1, 2")
+def effective_labels(spark, sf_dir):
+    return decided(spark, sf_dir).groupBy("state", "effective_label").agg(F.count("*").alias("n"))
 
 
 @query("SELECT l.lang, l.source, l.planned, coalesce(a.n, 0) AS actual, greatest(l.planned - coalesce(a.n, 0), 0) AS shortfall FROM (SELECT DISTINCT x.lang, y.source, 3::BIGINT AS planned FROM documents x, documents y) l LEFT JOIN (SELECT lang, source, count(*) AS n FROM documents GROUP BY ALL) a USING (lang, source)")
@@ -617,26 +629,21 @@ def set_operations(spark, sf_dir):
     return one("except", a.subtract(b)).unionByName(one("intersect", a.intersect(b))).unionByName(one("union", a.union(b).distinct())).unionByName(one("union_all", a.unionAll(b)))
 
 
-@query(f"WITH {ROWS} SELECT k AS row_key FROM rows WHERE quality IS NULL AND k NOT IN (SELECT k FROM rows WHERE quality IS NOT NULL) GROUP BY 1")
+@query(f"WITH {ROWS} SELECT k AS row_key, occ AS occurrence FROM rows WHERE k NOT IN (SELECT k FROM rows WHERE quality IS NOT NULL)")
 def unrecorded_rows(spark, sf_dir):
-    """Rows without a recorded label: anti join on the key."""
     d = rows(spark, sf_dir, True)
-    seen = d.where("quality is not null").select(KEY).distinct()
-    return d.where("quality is null").join(seen, KEY, "left_anti").select(F.col(KEY).alias("row_key")).distinct()
+    return audits.unrecorded_rows(d, d.where("quality is not null").select(F.col(KEY).alias("row_key"))).select(F.col(KEY).alias("row_key"), F.col(OCC).alias("occurrence"))
 
 
 @query(f"WITH {ROWS}, cap AS (SELECT DISTINCT k FROM rows ORDER BY k LIMIT 100) SELECT k AS row_key, occ AS occurrence FROM rows WHERE k IN (SELECT k FROM cap)")
 def row_cap(spark, sf_dir):
-    """All copies of the first hundred keys: semi join on a limited list."""
-    d = rows(spark, sf_dir)
-    cap = d.select(KEY).distinct().orderBy(KEY).limit(100)
-    return d.join(cap, KEY, "left_semi").select(F.col(KEY).alias("row_key"), F.col(OCC).alias("occurrence"))
+    return audits.row_cap(rows(spark, sf_dir), 100).select(F.col(KEY).alias("row_key"), F.col(OCC).alias("occurrence"))
 
 
-@query(f"WITH {ROWS} SELECT count(DISTINCT a.k) AS shared_keys FROM rows a JOIN rows b ON a.k = b.k AND a.split = 'train' AND b.split = 'test'")
+@query(f"WITH {ROWS}, s AS (SELECT DISTINCT a.k FROM rows a JOIN rows b ON a.k = b.k AND a.split = 'test' AND b.split = 'train') SELECT count(*) AS shared_keys, coalesce((SELECT string_agg(k, ',' ORDER BY k) FROM (SELECT k FROM s ORDER BY k LIMIT 20)), '') AS sample FROM s")
 def held_out_overlap(spark, sf_dir):
-    d = rows(spark, sf_dir).select(KEY, SPLIT).distinct()
-    return d.groupBy(KEY).agg(F.countDistinct(SPLIT).alias("n")).where("n > 1").agg(F.count("*").alias("shared_keys"))
+    d = rows(spark, sf_dir)
+    return audits.held_out_overlap(d.where(F.col(SPLIT) == "test"), d.where(F.col(SPLIT) == "train")).withColumn("sample", F.array_join("sample", ","))
 
 
 @query(f"""WITH {ROWS}, {RUN}, x AS (SELECT k, occ, CASE WHEN p IS NULL THEN 'not_scored' WHEN p - 0.5 < -0.1 - 1e-12 OR p - 0.5 > 0.2 + 1e-12 THEN 'outside_band' WHEN quality IS NULL THEN 'no_reference' WHEN (p >= 0.5) = (quality = 1) THEN 'correct' END AS why FROM rows LEFT JOIN run USING (k)) SELECT coalesce(why, 'kept') AS reason_code, count(*) AS n FROM x GROUP BY 1""")
@@ -664,7 +671,10 @@ def generated_rows(spark, sf_dir):
     return _generated(spark, sf_dir).output.groupBy(F.col(ORIGIN).alias("origin")).agg(F.count("*").alias("n"))
 
 
-@query()
+GENERATED = f"WITH {ROWS}, g AS (SELECT length(text) + 11 AS n FROM rows WHERE split = 'train' AND doc_id % 4 = 1 AND occ = 0)"
+
+
+@query(f"{GENERATED} SELECT reason_code, count(*) AS n FROM (SELECT CASE WHEN n IS NULL OR n % 10 = 5 THEN 'judge_missing' WHEN n % 3 = 0 OR n % 10 < 2 THEN 'judge_rejected' END AS reason_code FROM g) WHERE reason_code IS NOT NULL GROUP BY 1")
 def judge_filter(spark, sf_dir):
     d = _generated(spark, sf_dir).output
     run = d.where(F.col(ORIGIN) == "generated").select(F.col(KEY).alias("row_key"), F.when(F.length("text") % 3 == 0, "reject").otherwise("accept").alias("outcome"), (F.length("text") % 10 / 10).alias("score")).where("score <> 0.5")
@@ -672,7 +682,7 @@ def judge_filter(spark, sf_dir):
     return r.events.groupBy("reason_code").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"{GENERATED} SELECT CASE n % 5 WHEN 0 THEN 'pair_tie' WHEN 1 THEN 'pair_judge_disagrees' ELSE 'pair_position_inconsistent' END AS reason_code, count(*) AS n FROM g WHERE n % 5 IN (0, 1, 2) GROUP BY 1")
 def pair_filter(spark, sf_dir):
     d = _generated(spark, sf_dir).output
     n = F.length("text") % 5
@@ -680,12 +690,11 @@ def pair_filter(spark, sf_dir):
     return generation.pair_filter(d, Context(("text",), inputs={"run": run})).events.groupBy("reason_code").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"""WITH {ROWS}, seeds AS (SELECT DISTINCT k FROM rows WHERE split = 'train' AND doc_id % 4 = 1 AND occ = 0) SELECT 'kept' AS reason_code, (SELECT count(*) FROM rows WHERE split = 'train' AND k IN (SELECT k FROM seeds)) + (SELECT count(*) FROM seeds) AS n UNION ALL SELECT 'not_in_run', count(*) FROM rows WHERE split = 'train' AND k NOT IN (SELECT k FROM seeds)""")
 def minimal_pairs(spark, sf_dir):
     d = _generated(spark, sf_dir).output
     rec = d.where(F.col(ORIGIN) == "generated").select(F.col(KEY).alias("row_key"), F.get("_dw_parent_keys", F.lit(0)).alias("seed_row_key"))
-    short = d.where(F.length("text") < 3000)
-    r = generation.minimal_pair_scope(short, Context(("text",), inputs={"records": rec}), max_edit_words=2)
+    r = generation.minimal_pair_scope(d, Context(("text",), inputs={"records": rec}), max_edit_words=2)
     return r.events.groupBy("reason_code").agg(F.count("*").alias("n")).unionByName(r.output.agg(F.lit("kept").alias("reason_code"), F.count("*").alias("n")))
 
 

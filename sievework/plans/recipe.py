@@ -8,9 +8,11 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import ArrayType, MapType, StructType
 
-from sievework.operators import behaviour, chat, filters, generation, identifier_ops, labels, reports, selection
-from sievework.operators.rows import EVENT_SCHEMA, KEY, OCC, ORIGIN, SPLIT, Context, Refused, StepResult, conservation
+from sievework.operators import audits, behaviour, chat, filters, generation, identifier_ops, labels, reports, selection
+from sievework.operators.components import connected_components
+from sievework.operators.rows import EVENT_SCHEMA, KEY, OCC, ORIGIN, SPLIT, Context, Refused, StepResult, conservation, content_text, word_count
 from sievework.plans.staging import materialise, stage_path
 from sievework.sources.writers import canonical_json
 
@@ -29,6 +31,7 @@ REGISTRY: dict[str, Operator] = {}
 #: What a kind may do to rows.
 EFFECTS = {
     "filter": {"dropped"}, "deduplicator": {"dropped"}, "selector": {"dropped", "split_assigned"}, "mapper": {"dropped", "changed"}, "labeler": {"dropped"}, "generator": {"added"},
+    "report": set(), "check": set(),
 }
 
 
@@ -88,7 +91,65 @@ def _move(df, ctx, move_where: list, move_to: str, move_fraction: float, move_fr
     return selection.move(df, ctx, test, move_to, move_fraction, move_from, group_columns)
 
 
+def near_pairs(df: DataFrame, content, threshold: float = 0.8) -> DataFrame:
+    """(a, b, estimate) of near-duplicate keys; copies of a key are signed once."""
+    one = df.groupBy(KEY).agg(F.min(content_text(df, content)).alias("__t"))
+    return materialise(selection.minhash_pairs(selection.minhash_signatures(one, F.col("__t"), "word", 5, 128).select(KEY, "__sig"), KEY, threshold, 128), "near")
+
+
+# Reports: rows pass as they are; the tables stand beside them.
+def _profile(df, ctx, near: bool = True, clusters: int | None = None):
+    text = content_text(df, ctx.content)
+    d = df.withColumn("__length", F.length(text)).withColumn("__words", word_count(text))
+    tables = {
+        "rows": reports.version_profile(df, list(ctx.content)), "columns": reports.column_profile(df, [c for c in df.columns if not c.startswith("_dw_") and not isinstance(df.schema[c].dataType, (ArrayType, MapType, StructType))]),
+        "length": reports.histogram(d, "__length", 20), "words": reports.histogram(d, "__words", 20),
+    }
+    missing = []
+    chats = [f.name for f in df.schema.fields if isinstance(f.dataType, ArrayType) and isinstance(f.dataType.elementType, StructType)]
+    if chats:
+        tables |= {"turns": reports.histogram(df.withColumn("__turns", F.size(chats[0])), "__turns", 20), "roles": reports.turns_by_role(df, chats[0])}
+    else:
+        missing.append(("turns", "no chat column"))
+    if near:
+        comps = connected_components(near_pairs(df, ctx.content), "a", "b").groupBy("root").agg(F.count("*").alias("size"))
+        tables["near_duplicates"] = comps.agg(F.count("*").alias("groups"), F.coalesce(F.sum("size"), F.lit(0)).alias("keys"), F.max("size").alias("largest"))
+    else:
+        missing.append(("near_duplicates", "not asked"))
+    if clusters:
+        tables["clusters"] = reports.cluster_sizes(reports.text_clusters(df, list(ctx.content), clusters, ctx.seed))
+    else:
+        missing.append(("clusters", "not asked"))
+    tables["not_computed"] = df.sparkSession.createDataFrame(missing, "what string, reason string")
+    return StepResult(df, None, tables)
+
+
+def _audit(df, ctx, columns: list, label_column: str = "label", folds: int = 5, control_runs: int = 5, tolerance_pp: float = 2.0):
+    return StepResult(df, None, {"columns": reports.shortcut_audit(df, columns, label_column, folds, control_runs, tolerance_pp, ctx.seed)})
+
+
+def _leakage(df, ctx, group_column: str | None = None, near: bool = True, threshold: float = 0.8):
+    pairs = near_pairs(df, ctx.content, threshold) if near else None
+    return StepResult(df, None, {"crossings": reports.leakage(df, list(ctx.content), group_column, pairs), "pairs": audits.leakage_pairs(df, ctx.content, group_column, pairs)})
+
+
+def _contamination(df, ctx, n: int = 13):
+    return StepResult(df, None, {"rows": reports.contamination(df, list(ctx.content), ctx.inputs["benchmark"], n).where("hits > 0")})
+
+
+def _cluster(df, ctx, k: int = 50):
+    c = materialise(reports.text_clusters(df, list(ctx.content), k, ctx.seed), "clusters")
+    return StepResult(df, None, {"assignments": c, "sizes": reports.cluster_sizes(c), "coverage": audits.cluster_coverage(c, k)})
+
+
+def _cluster_embedding(df, ctx, k: int = 50):
+    c = materialise(reports.vector_clusters(ctx.inputs["vectors"], k, ctx.seed), "clusters")
+    return StepResult(df, None, {"assignments": c, "sizes": reports.cluster_sizes(c), "coverage": audits.cluster_coverage(c, k)})
+
+
 for _row in (
+    ("profile", "1.0.0", "report", _profile), ("shortcut_audit", "1.0.0", "report", _audit), ("leakage_check", "1.0.0", "report", _leakage), ("contamination_check", "1.0.0", "report", _contamination),
+    ("cluster", "1.0.0", "report", _cluster), ("cluster_embedding", "1.0.0", "report", _cluster_embedding), ("check_carrier_ids", "1.0.0", "check", behaviour.carrier_check), ("split", "1.3.0", "selector", audits.split_marked),
     ("length_band", "1.0.0", "filter", filters.length_band), ("turn_count_band", "1.0.0", "filter", filters.turn_count_band), ("empty_content", "1.0.0", "filter", filters.empty_content),
     ("metadata_value_filter", "1.0.0", "filter", filters.metadata_value_filter), ("screen_filter", "1.0.0", "filter", filters.screen_filter), ("feature_filter", "1", "filter", filters.feature_filter),
     ("drop_leakage_pairs", "1.0.0", "filter", filters.drop_leakage_pairs), ("decontaminate", "1.0.0", "filter", reports.decontaminate), ("trl_validate", "1.0.0", "filter", chat.trl_validate),
@@ -97,7 +158,7 @@ for _row in (
     ("sample", "1.1.0", "selector", _sample), ("label_balancer", "1.0.0", "selector", selection.label_balancer), ("cell_balancer", "1.0.0", "selector", selection.cell_balancer),
     ("cluster_balancer", "1.1.0", "selector", _cluster_balancer), ("split", "1.0.0", "selector", _split), ("split", "1.1.0", "selector", selection.split), ("split", "1.2.0", "selector", _move),
     ("normaliser", "1.0.0", "mapper", chat.normaliser), ("chat_json_parser", "1.0.0", "mapper", chat.chat_json_parser), ("threshold_labeler", "1", "labeler", labels.threshold_labeler),
-    ("rule_label", "1", "labeler", labels.rule_label), ("rule_label", "2", "labeler", labels.rule_label), ("regex_match", "1", "labeler", labels.regex_match), ("regex_match", "2", "labeler", labels.regex_match),
+    ("rule_label", "1", "labeler", labels.rule_label), ("rule_label", "2", "labeler", labels.rule_label_v2), ("regex_match", "1", "labeler", labels.regex_match), ("regex_match", "2", "labeler", labels.regex_match_v2),
     ("phrase_proximity", "1", "labeler", labels.phrase_proximity), ("rule_set", "1", "labeler", labels.rule_set), ("derive_labels", "1.0.0", "labeler", labels.derive_labels),
     ("calibration_labels", "1.0.0", "labeler", labels.calibration_labels), ("synth_identifier", "1", "labeler", identifier_ops.synth_identifier), ("synth_identifier", "1.1.0", "labeler", identifier_ops.synth_identifier),
     ("checksum_validate", "1", "labeler", identifier_ops.checksum_validate), ("generated_rows", "1", "generator", generation.generated_rows), ("judge_filter", "1", "selector", generation.judge_filter),
@@ -125,6 +186,8 @@ class VersionResult:
     events: DataFrame
     steps: list[dict]
     recipe: str
+    #: "step:operator@version" -> the tables of a report.
+    reports: dict = field(default_factory=dict)
 
 
 def run_recipe(spark: SparkSession, rows: DataFrame, steps: list[dict], content: tuple = ("text",), seed: int = 0, inputs: dict | None = None, verify: bool = True, reuse: dict | None = None) -> VersionResult:
@@ -136,7 +199,7 @@ def run_recipe(spark: SparkSession, rows: DataFrame, steps: list[dict], content:
     reuse: digest -> paths of earlier steps; a step with the same digest is not run again.
     """
     digest = recipe_hash(steps)
-    at, log, events = rows, [], []
+    at, log, events, tables = rows, [], [], {}
     chain = hashlib.sha256(b"rows")
     for i, s in enumerate(steps):
         ref = f"{s['operator']}@{s['version']}"
@@ -151,6 +214,12 @@ def run_recipe(spark: SparkSession, rows: DataFrame, steps: list[dict], content:
         else:
             ctx = Context(content, step_seed(seed, i, ref), inputs or {})
             r = op.run(at, ctx, **params)
+            if op.kind in ("report", "check"):  # rows pass as they are
+                if r.output.columns != at.columns or r.events is not None:
+                    raise Refused("effect_not_allowed", ref)
+                tables[f"{i}:{ref}"] = {k: materialise(t, "report") for k, t in r.report.items()}
+                log.append({"step": i, "operator": ref, "digest": key})
+                continue
             e = r.events if r.events is not None else spark.createDataFrame([], EVENT_SCHEMA)
             paths = (stage_path(spark, f"step{i}"), stage_path(spark, f"events{i}"))
             r.output.write.parquet(paths[0])
@@ -171,4 +240,4 @@ def run_recipe(spark: SparkSession, rows: DataFrame, steps: list[dict], content:
     every = events[0] if events else spark.createDataFrame([], EVENT_SCHEMA).withColumn("step", F.lit(0)).withColumn("operator", F.lit(""))
     for e in events[1:]:
         every = every.unionByName(e)
-    return VersionResult(at, every, log, digest)
+    return VersionResult(at, every, log, digest, tables)

@@ -15,12 +15,14 @@ _LOCAL_DIRS: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir.
 
-    Only where the session names none (tests, a notebook in local mode) a folder of our own is
-    made; it goes when the process ends.
+    Only where the session names none and runs in this process (tests, a notebook in local mode) a
+    folder of our own is made; it goes when the process ends. A cluster has to name one: RuntimeError.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL_DIRS:
         _LOCAL_DIRS[app] = path = tempfile.mkdtemp(prefix="sievework-")
@@ -42,4 +44,15 @@ def materialise(df: DataFrame, label: str = "stage") -> DataFrame:
     spark = df.sparkSession
     path = stage_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    staged = spark.read.schema(df.schema).parquet(path)
+    staged.staged_at = path
+    return staged
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table that materialise() gave, once nothing will read it again."""
+    path = getattr(df, "staged_at", None)
+    if path:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)

@@ -9,10 +9,21 @@ from sievework.operators.rows import KEY, OCC, Refused, assemble
 FORMATS = {"parquet": "parquet", "jsonl": "jsonl", "ndjson": "jsonl", "csv": "csv", "tsv": "csv"}
 
 
+def _head(spark: SparkSession, path: str, n: int) -> bytes:
+    """The first n bytes of a file, by the session's file systems; no more of it is read."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    size = min(n, files.getFileStatus(where).getLen())
+    stream = files.open(where)
+    try:
+        return bytes(stream.readNBytes(size))
+    finally:
+        stream.close()
+
+
 def sniff(spark: SparkSession, path: str) -> str:
     """parquet, jsonl or csv by the first bytes; the name's ending must agree."""
-    head = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 64).alias("h")).first()
-    raw = bytes(head["h"]) if head else b""
+    raw = _head(spark, path, 64)
     kind = "parquet" if raw[:4] == b"PAR1" else "jsonl" if raw.lstrip()[:1] == b"{" else "csv"
     ending = path.rsplit(".", 1)[-1].lower()
     if ending in FORMATS and FORMATS[ending] != kind:

@@ -44,18 +44,19 @@ def write_export(df: DataFrame, target_type: str, path: str) -> dict:
 
 
 def publish_projection(df: DataFrame, effective: DataFrame | None = None, label: str = "label") -> DataFrame:
-    """User columns and key, occurrence, origin; overridden labels replace, flagged rows go.
-    effective: (row_key, state, effective_label)."""
+    """User columns and key, occurrence, origin; overridden labels replace, flagged rows go, others pass.
+    effective: (row_key, state, effective_label) of effective_labels()."""
     user = [c for c in df.columns if not c.startswith("_dw_")]
     if effective is None:
         return df.select(*user, KEY, OCC, ORIGIN)
     d = df.join(effective.select(F.col("row_key").alias("__k"), "state", "effective_label"), F.col(KEY) == F.col("__k"), "left")
     d = d.where(F.coalesce(F.col("state") != "flagged_unresolved", F.lit(True)))
-    return d.withColumn(label, F.when(F.col("state") == "override", F.col("effective_label")).otherwise(F.col(label))).select(*user, KEY, OCC, ORIGIN)
+    return d.withColumn(label, F.when(F.col("state") == "overridden", F.col("effective_label")).otherwise(F.col(label))).select(*user, KEY, OCC, ORIGIN)
 
 
 def append_events(events: DataFrame, path: str, step: int) -> None:
-    events.withColumn("step", F.lit(step)).write.mode("append").parquet(path)
+    """A directory a step below path; a step that is written again replaces its own events."""
+    events.write.mode("overwrite").parquet(f"{path}/step={step}")
 
 
 def manifest(body: dict) -> dict:

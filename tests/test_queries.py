@@ -2,7 +2,7 @@
 
 import pytest
 
-from sievework.plans import queries as core
+from sievework.plans import more_queries, queries as core  # noqa: F401
 from tests.conftest import same_rows
 
 
