@@ -3,8 +3,11 @@
 Trusted positives and unlabelled web text train a scorer f by the non-negative unbiased risk
     prior * E_pos[l(f, +)] + max(0, E_unl[l(f, -)] - prior * E_pos[l(f, -)])
 with the logistic loss; when the bracket falls below zero, a step climbs back along its gradient,
-as the published method does. No negative label enters the risk; the labelled rows only supply the
-trusted positives and, by their share of label 1, the estimate of the class prior.
+as the published method does. No negative label enters the risk or the prior, which is estimated
+from the same two samples: a scorer fitted on half of the positives orders the other half and the
+unlabelled rows, and the least ratio of unlabelled to positive rows above a score, allowing for
+sampling, is the share of positives among the unlabelled. Only under 40 positives the labelled
+share of 1 stands in for it.
 
 Features come from the whole text and nothing else. They are taken once, over all rows; the fit
 sees a bounded sample (max_positives, max_unlabelled, chosen by a hash of the id, so that reruns
@@ -108,6 +111,18 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip((self._rows(x.astype(np.float64)) @ self.w).astype(np.float64), -30, 30)))
 
 
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, doubt: float = 0.1) -> float:
+    """The share of positives among the unlabelled rows, from these two samples alone."""
+    half = len(positive) // 2
+    scorer = Scorer().fit(positive[:half], unlabelled, 0.5)
+    p, u = (np.sort(-scorer.score(x)) for x in (positive[half:], unlabelled))
+    top = np.arange(max(1, len(p) // 10), len(p) + 1)
+    above_p, above_u = top / len(p), np.searchsorted(u, p[top - 1], side="right") / len(u)
+    slack = sum(math.sqrt(math.log(4 / doubt) / (2 * n)) for n in (len(p), len(u)))
+    best = int(np.argmin((above_u + slack) / above_p))
+    return float(min(1.0, above_u[best] / above_p[best]))
+
+
 def fit_scorer(feats: DataFrame, marks: DataFrame, max_positives: int = 6_000, max_unlabelled: int = 12_000) -> tuple[Scorer | None, float]:
     """(scorer, prior) from features (id, x) and marks (id, label 0 or 1).
 
@@ -119,12 +134,21 @@ def fit_scorer(feats: DataFrame, marks: DataFrame, max_positives: int = 6_000, m
     prior = one.agg(F.avg("label")).first()[0]
     prior = 1.0 if prior is None else float(prior)
     known = feats.join(one.where("label = 1"), "id", "left")
-    order = [F.xxhash64(F.col("id").cast("string")), "id"]
-    take = lambda df, n: df.orderBy(*order).limit(n).select("x").toPandas()["x"].tolist()
-    pos, unl = take(known.where("label = 1"), max_positives), take(known, max_unlabelled)
+    draw = F.shiftrightunsigned(F.xxhash64(F.col("id").cast("string")), 11)
+    n = known.agg(F.count("label").alias("p"), F.count("*").alias("u")).first()
+
+    def take(rows: DataFrame, of: int, most: int) -> list:
+        """The first rows by the hash; of all rows only some twice as many are ordered."""
+        near = rows.where(draw < int(min(1.0, (2 * most + 100) / max(1, of)) * (1 << 53)))
+        return near.select("x", draw.alias("__draw"), "id").orderBy("__draw", "id").limit(most).select("x").toPandas()["x"].tolist()
+
+    pos, unl = take(known.where("label = 1"), n["p"], max_positives), take(known, n["u"], max_unlabelled)
     if not pos or not unl:
         return None, prior
-    return Scorer().fit(np.array([*map(np.asarray, pos)]), np.array([*map(np.asarray, unl)]), min(max(prior, 0.01), 0.99)), prior
+    pos, unl = (np.array([*map(np.asarray, x)]) for x in (pos, unl))
+    if len(pos) >= 40:
+        prior = estimate_prior(pos, unl)
+    return Scorer().fit(pos, unl, min(max(prior, 0.01), 0.99)), prior
 
 
 def score_rows(feats: DataFrame, scorer: Scorer | None, prior: float) -> DataFrame:
@@ -156,5 +180,6 @@ THRESHOLD = 0.3
 
 
 def op6_quality(spark, sf_dir: str) -> DataFrame:
+    """Every document's score by its text alone; null and empty texts are scored too."""
     scored = score_quality(documents(spark, sf_dir), training_marks(spark, sf_dir))
     return scored.select(F.col("id").alias("doc_id"), (id_bucket("id", 5) == 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
