@@ -337,3 +337,34 @@ def split_marked(df: DataFrame, ctx: Context, split_names=("train", "test"), spl
         if bad is not None:
             raise Refused("held_out_overlap" if bad["shared_keys"] else "text_too_short", bad["split"])
     return r
+
+
+def model_identity(name: Column) -> Column:
+    """A model's name without its revision: what follows the last @ goes, or else the last colon."""
+    return F.when(F.contains(name, F.lit("@")), F.regexp_replace(name, "@[^@]*$", "")).otherwise(F.regexp_replace(name, ":[^:]*$", ""))
+
+
+#: Checks before a version is published; only the second can stop it, the others are shown.
+PUBLISH_CHECKS = ("C-1", "C-2", "C-3", "C-4", "C-5", "C-6", "C-7", "C-8", "C-9")
+
+
+def publish_gate(facts: dict) -> dict[str, str]:
+    """Check -> 'green', 'amber', 'refused' or 'not_checked', from facts; a missing fact is not checked.
+
+    licences (source -> may be redistributed), can_write, held_out_pairs (near pairs into a held-out
+    split; 0 where there is none), model_terms (models -> terms known), audit_done, calibrated (labeller ->
+    has a record), audit (rows of shortcut_audit), private_rule_sets, visibility (floor, wanted).
+    """
+    rules = {
+        "C-1": ("licences", lambda x: all(x.values())), "C-3": ("held_out_pairs", lambda x: x == 0), "C-4": ("model_terms", lambda x: all(x.values())), "C-5": ("audit_done", bool),
+        "C-6": ("calibrated", lambda x: all(x.values())), "C-7": ("audit", lambda x: not any(r["warn"] or r["invalid"] for r in x)), "C-8": ("private_rule_sets", lambda x: x == 0),
+        "C-9": ("visibility", lambda x: x[0] != "private_only" or x[1] == "private"),
+    }
+    out = {k: "not_checked" if facts.get(fact) is None else "green" if good(facts[fact]) else "amber" for k, (fact, good) in rules.items()}
+    out["C-2"] = "not_checked" if facts.get("can_write") is None else "green" if facts["can_write"] else "refused"
+    return {k: out[k] for k in PUBLISH_CHECKS}
+
+
+def may_publish(gate: dict[str, str], acknowledged: Sequence[str] = ()) -> bool:
+    """No refusal, and every amber check named by the one who publishes."""
+    return "refused" not in gate.values() and all(k in acknowledged for k, v in gate.items() if v == "amber")

@@ -135,5 +135,9 @@ def detect(df: DataFrame) -> str:
     return fits[0] if len(fits) == 1 else "undetected"
 
 
-# The columns that each format exports.
-EXPORT_COLUMNS = {"sft": ("messages", "prompt", "completion", "text"), "dpo": ("prompt", "chosen", "rejected"), "kto": ("prompt", "completion", "label"), "grpo_prompt": ("prompt",), "prm": ("prompt", "completions", "labels"), "detector": ("text", "label")}
+# The column sets of each format; the first whose columns all stand is exported.
+EXPORT_VARIANTS = {
+    "sft": (("messages",), ("text",), ("prompt", "completion")), "dpo": (("prompt", "chosen", "rejected"),), "kto": (("prompt", "completion", "label"),), "grpo_prompt": (("prompt",),), "prm": (("prompt", "completions", "labels"),),
+    "detector": (("text", "label"),), "prompt_set": (("prompt",),), "retention_set": (("prompt",),), "corpus": (("text",), ("messages",)), "preference_pairs": (("prompt", "chosen", "rejected"),),
+    "test_set": (("prompt", "reference", "match"), ("prompt", "grader_config_sha256")),
+}

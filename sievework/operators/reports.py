@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
+from math import exp, factorial
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from sievework.operators.filters import EMPTY
@@ -11,6 +15,10 @@ from sievework.operators.rows import KEY, OCC, ORIGIN, SOURCE, SPLIT, Refused, a
 from sievework.plans.staging import materialise
 
 
+#: Distribution function of the Poisson weight of mean 1, up to 10.
+_POISSON = np.cumsum([exp(-1) / factorial(k) for k in range(11)])
+
+
 def value_of(df: DataFrame, column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(EMPTY)) if column in df.columns else F.lit(EMPTY)
 
@@ -175,18 +183,26 @@ def bootstrap_mean(df: DataFrame, column: str, unit: str, resamples: int = 2_000
     """Percentile interval of a mean over resampled units.
 
     Units fold into their sums first; each draws a Poisson(1) weight per resample from a hash of
-    (seed, unit, resample), so that no resample is ever collected.
+    (seed, unit, resample). A task adds its units up and sends one line a resample, so what moves does
+    not grow with the units.
     """
-    per = df.where(F.col(column).isNotNull()).groupBy(F.col(unit).alias("u")).agg(F.sum(column).alias("s"), F.count(column).alias("c"))
-    u = (F.pmod(F.xxhash64(F.lit(seed), "u", "b"), F.lit(1 << 52)) + 0.5) / (1 << 52)
-    cuts, total, term = [], 0.0, 0.36787944117144233
-    for k in range(10):
-        total += term
-        cuts.append(total)
-        term /= k + 1
-    weight = reduce(lambda a, b: a + b, [(u >= c).cast("int") for c in cuts])
-    each = per.select("*", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("b")).withColumn("w", weight)
-    means = each.groupBy("b").agg((F.sum(F.col("w") * F.col("s")) / F.sum(F.col("w") * F.col("c"))).alias("m"))
+    per = df.where(F.col(column).isNotNull()).groupBy(F.col(unit).alias("u")).agg(F.sum(F.col(column).cast("double")).alias("s"), F.count(column).alias("c")).select(F.xxhash64(F.lit(seed), "u").alias("h"), "s", "c")
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, counts = np.zeros(resamples), np.zeros(resamples)
+        place = np.arange(1, resamples + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        for batch in batches:
+            h, s, c = (batch.column(i).to_numpy() for i in range(3))
+            for at in range(0, len(h), 1024):
+                x = h[at : at + 1024].view(np.uint64)[:, None] + place[None, :]
+                x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+                x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+                w = np.searchsorted(_POISSON, ((x ^ (x >> np.uint64(31))) >> np.uint64(11)) / float(1 << 53), side="right")
+                sums += s[at : at + 1024] @ w
+                counts += c[at : at + 1024] @ w
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(resamples)), pa.array(sums), pa.array(counts)], names=["b", "s", "c"])
+
+    means = per.mapInArrow(add_up, "b long, s double, c double").groupBy("b").agg(F.sum("s").alias("s"), F.sum("c").alias("c")).where("c > 0").select((F.col("s") / F.col("c")).alias("m"))
     return means.agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
 
 
@@ -364,20 +380,18 @@ def vector_clusters(vectors: DataFrame, k: int = 50, seed: int = 0) -> DataFrame
 
 def _kmeans(x: DataFrame, k: int, seed: int) -> DataFrame:
     from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector, vector_to_array
 
     model = KMeans(k=k, seed=seed, maxIter=10, featuresCol="features", predictionCol="cluster").fit(x)
-    centres = x.sparkSession.createDataFrame([(i, [float(v) for v in c]) for i, c in enumerate(model.clusterCenters())], "cluster int, centre array<double>")  # k rows
-
-    @F.pandas_udf("double")
-    def far(a, b):
-        import numpy as np
-        import pandas as pd
+    centres = x.sparkSession.sparkContext.broadcast([(np.asarray(c), float(np.dot(c, c))) for c in model.clusterCenters()])  # k rows
 
-        return pd.Series([float(np.linalg.norm(np.asarray(p) - np.asarray(q))) for p, q in zip(a, b)])
+    @F.udf("double")
+    def far(v, i):
+        """By |x|^2 - 2xc + |c|^2: a sparse row costs its own entries, not the centre's."""
+        c, square = centres.value[i]
+        at, own = (v.indices, v.values) if hasattr(v, "indices") else (slice(None), v.toArray())
+        return float(max(0.0, np.dot(own, own) - 2 * np.dot(own, c[at]) + square) ** 0.5)
 
-    d = model.transform(x).join(centres, "cluster")
-    return d.select(F.col(KEY).alias("row_key"), "cluster", far(vector_to_array("features"), F.col("centre")).alias("distance"))
+    return model.transform(x).select(F.col(KEY).alias("row_key"), "cluster", far("features", "cluster").alias("distance"))
 
 
 def cluster_sizes(clusters: DataFrame) -> DataFrame:

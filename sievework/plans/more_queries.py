@@ -180,6 +180,14 @@ def list_lengths(spark, sf_dir):
     return audits.list_lengths(chats(spark, sf_dir), "messages").select(F.col("rows").alias("n"), "nulls", F.col("shortest").cast("long").alias("shortest"), F.col("longest").cast("long").alias("longest"), F.round("mean", 9).alias("mean"))
 
 
+@query("SELECT CASE WHEN doc_id % 3 = 0 THEN 'org/m' || doc_id % 5 WHEN doc_id % 3 = 1 THEN 'm:x' || doc_id % 5 ELSE 'plain' END AS model, count(*) AS n FROM documents GROUP BY 1")
+def model_identity(spark, sf_dir):
+    k = F.col("doc_id")
+    five = (k % 5).cast("string")
+    name = F.when(k % 3 == 0, F.concat(F.lit("org/m"), five, F.lit("@rev:"), k.cast("string"))).when(k % 3 == 1, F.concat(F.lit("m:x"), five, F.lit(":"), k.cast("string"))).otherwise("plain")
+    return table(spark, sf_dir, "documents").groupBy(audits.model_identity(name).alias("model")).agg(F.count("*").alias("n"))
+
+
 # Labellers
 @query(f"""WITH {ROWS}, lab AS (SELECT k, max(quality) AS q FROM rows WHERE doc_id % 3 = 0 AND quality IS NOT NULL GROUP BY 1), x AS (SELECT DISTINCT k FROM rows WHERE split = 'test'), g AS (SELECT DISTINCT source || lang AS v FROM rows WHERE split = 'test' AND doc_id < 200)
 SELECT CASE WHEN lab.k IS NULL THEN 'not_in_calibration_set' WHEN x.k IS NOT NULL THEN 'shares_row_with_excluded_split' ELSE 'kept' END AS reason_code, count(*) AS n FROM rows LEFT JOIN lab USING (k) LEFT JOIN x USING (k) GROUP BY 1""")
@@ -248,11 +256,20 @@ def cap_clusters(spark, sf_dir):
     return selection.cap_clusters(d, CTX, per, cap=40).output.select(F.col(KEY).alias("row_key"), F.col(OCC).alias("occurrence"))
 
 
-@query("SELECT 'train' AS split, 700 AS n UNION ALL SELECT 'valid', 200 UNION ALL SELECT 'test', 100")
+@query("""WITH c AS (SELECT coalesce(source, '(empty)') AS value, count(*) AS n FROM documents GROUP BY 1), e AS (SELECT *, 100 * n / sum(n) OVER () AS x FROM c), r AS (SELECT *, row_number() OVER (ORDER BY x - floor(x) DESC, value) AS rn, sum(floor(x)) OVER () AS given FROM e)
+SELECT value, (floor(x) + CASE WHEN rn <= 100 - given THEN 1 ELSE 0 END)::INTEGER AS n FROM r""")
 def largest_remainder(spark, sf_dir):
-    """Rows of three splits by their fractions, half to even; of a thousand rows."""
-    valid, test = selection.split_targets(1000, [0.7, 0.2, 0.1])
-    return spark.createDataFrame([("train", 1000 - valid - test), ("valid", valid), ("test", test)], "split string, n int")
+    sizes = {r["value"]: r["n"] for r in table(spark, sf_dir, "documents").groupBy(F.coalesce("source", F.lit("(empty)")).alias("value")).agg(F.count("*").alias("n")).collect()}  # one row a source
+    names = sorted(sizes)
+    return spark.createDataFrame([*zip(names, selection.largest_remainder([sizes[n] for n in names], 100))], "value string, n int")
+
+
+@query("SELECT 100 AS n, 1 AS least, true AS within")
+def proportional_allocation(spark, sf_dir):
+    """Exactly so many rows, at least one a stratum, none over its size."""
+    sizes = {r["value"]: r["n"] for r in table(spark, sf_dir, "documents").groupBy(F.coalesce("source", F.lit("(empty)")).alias("value")).agg(F.count("*").alias("n")).collect()}  # one row a source
+    got = selection.proportional_allocation(sizes, 100)
+    return spark.createDataFrame([(sum(got.values()), min(1, min(got.values())), all(got[k] <= sizes[k] for k in got))], "n int, least int, within boolean")
 
 
 # Columns

@@ -42,6 +42,36 @@ def register(name: str, version: str, kind: str, run: Callable, **bounds) -> Non
     REGISTRY[ref] = Operator(name, version, kind, run, bounds)
 
 
+def load_plugins(group: str = "sievework.operators", allowed: tuple[str, ...] = ()) -> dict[str, str]:
+    """Register operators that installed distributions offer as entry points: 'name@version' -> state.
+
+    Only distributions named in allowed are loaded. An entry point gives (name, version, kind, run). A
+    state is 'registered', 'not allowed', 'duplicate', or 'failed: ' and why.
+    """
+    from importlib.metadata import entry_points
+
+    states = {}
+    for point in entry_points(group=group):
+        if point.dist is None or point.dist.name not in allowed:
+            states[point.name] = "not allowed"
+            continue
+        try:
+            row = point.load()
+            register(*row)
+            states[f"{row[0]}@{row[1]}"] = "registered"
+        except Refused as e:
+            states[point.name] = e.code
+        except Exception as e:  # a plugin is its author's code
+            states[point.name] = f"failed: {type(e).__name__}: {e}"
+    return states
+
+
+def registry_states(refs: list[str]) -> dict[str, str]:
+    """'registered' or 'not registered' of each 'name@version'; another version of the name is named."""
+    names = {ref.split("@")[0]: ref for ref in REGISTRY}
+    return {r: "registered" if r in REGISTRY else f"not registered; there is {names[r.split('@')[0]]}" if r.split("@")[0] in names else "not registered" for r in refs}
+
+
 def check_params(op: Operator, params: dict) -> None:
     """Names against the signature, values against the bounds."""
     known = [*inspect.signature(op.run).parameters.values()][2:]

@@ -7,7 +7,7 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sievework.operators.chat import EXPORT_COLUMNS
+from sievework.operators.chat import EXPORT_VARIANTS
 from sievework.operators.rows import KEY, OCC, ORIGIN, SPLIT, Refused
 
 
@@ -33,9 +33,9 @@ def write_download(df: DataFrame, split: str, columns: list[str], path: str, kin
 
 
 def write_export(df: DataFrame, target_type: str, path: str) -> dict:
-    """Exactly the format's columns per split, the row keys beside them, and a manifest."""
-    columns = [c for c in EXPORT_COLUMNS[target_type] if c in df.columns]
-    if not columns:
+    """Exactly the columns of one of the format's shapes per split, the row keys beside them, and a manifest."""
+    columns = next(([*v] for v in EXPORT_VARIANTS.get(target_type, ()) if set(v) <= set(df.columns)), None)
+    if columns is None:
         raise Refused("target_columns_missing", target_type)
     df.select(SPLIT, *columns).write.partitionBy(SPLIT).parquet(f"{path}/data")
     df.select(SPLIT, KEY, OCC).write.partitionBy(SPLIT).parquet(f"{path}/row_keys")

@@ -248,3 +248,36 @@ def test_second_version_of_patterns(spark):
     e = {x["n"]: x for x in labels.regex_match_v2(d, CTX, "t", "x*", False).output.collect()}
     assert e[3]["rx_first"] == "" and e[3]["rx_matched"] and not e[2]["rx_matched"] and e[2]["rx_spans"] == "[]"
     assert {x["n"]: x["rx_count"] for x in labels.regex_match_v2(d, CTX, "t", "[0-9]+", False).output.collect()} == {1: 1, 2: 0, 3: 0}
+
+
+def test_publish_gate():
+    from sievework.operators.audits import may_publish, publish_gate
+
+    all_good = {"licences": {"a": True}, "can_write": True, "held_out_pairs": 0, "model_terms": {}, "audit_done": True, "calibrated": {}, "audit": [], "private_rule_sets": 0, "visibility": ("public", "public")}
+    assert set(publish_gate(all_good).values()) == {"green"} and may_publish(publish_gate(all_good))
+    assert publish_gate({}) == dict.fromkeys(audits.PUBLISH_CHECKS, "not_checked")
+    bad = publish_gate(all_good | {"licences": {"a": False}, "visibility": ("private_only", "public")})
+    assert (bad["C-1"], bad["C-9"]) == ("amber", "amber") and not may_publish(bad) and may_publish(bad, ["C-1", "C-9"])
+    assert not may_publish(publish_gate(all_good | {"can_write": False}), audits.PUBLISH_CHECKS)
+
+
+def test_plugins_are_loaded_by_name_only(monkeypatch):
+    import importlib.metadata as meta
+    from types import SimpleNamespace
+
+    point = lambda name, dist, row: SimpleNamespace(name=name, dist=SimpleNamespace(name=dist), load=lambda: row)
+    points = [point("one", "good", ("plugin_one", "1", "filter", filters.empty_content)), point("two", "other", None), point("three", "good", ("length_band", "1.0.0", "filter", filters.length_band)), point("four", "good", None)]
+    monkeypatch.setattr(meta, "entry_points", lambda group: points)
+    states = recipe.load_plugins(allowed=("good",))
+    assert states["plugin_one@1"] == "registered" and states["two"] == "not allowed" and states["three"] == "duplicate" and states["four"].startswith("failed")
+    assert recipe.registry_states(["plugin_one@1", "length_band@9", "no@1"]) == {"plugin_one@1": "registered", "length_band@9": "not registered; there is length_band@1.0.0", "no@1": "not registered"}
+    del recipe.REGISTRY["plugin_one@1"]
+
+
+def test_export_takes_one_shape(spark, tmp_path):
+    from sievework.sources.writers import write_export
+
+    d = spark.createDataFrame([("k", 0, "train", "p", "c", "t")], f"{KEY} string, {OCC} int, {SPLIT} string, prompt string, completion string, text string")
+    assert write_export(d, "sft", str(tmp_path / "a"))["columns"] == ["text"] and write_export(d.drop("text"), "sft", str(tmp_path / "b"))["columns"] == ["prompt", "completion"]
+    with pytest.raises(Refused, match="target_columns_missing"):
+        write_export(d, "dpo", str(tmp_path / "c"))
