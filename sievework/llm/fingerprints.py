@@ -1,16 +1,17 @@
 """Document fingerprints: SimHash over weighted terms, searched through permuted block tables.
 
 Terms are runs of two words, weighted 1 + ln(count). Each term's hash gives 256 signed votes; the
-sign of a bit's sum is the bit. A table per block of the fingerprint, with that block moved to the
-front as the key, holds every fingerprint: within a radius of three bits one of four blocks is
-untouched, so the four tables meet every pair. Where a key is crowded (one family of near copies, a
-third of all rows perhaps) the pairs must also agree on three of six blocks, twenty tables of keys
-twice as long, so that what meets there is near in truth; no list is cut.
+sign of a bit's sum is the bit. For a search within r bits the fingerprint is cut into r + c blocks,
+of which c at least are untouched by r differing bits; a table per choice of c blocks, with these
+moved to the front as the key, holds every fingerprint, so the tables meet every pair. c is the
+least for which few unrelated fingerprints share a key: more fingerprints get longer keys and more
+tables, and the same answer. A pair that meets in several tables counts in the first alone.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -20,7 +21,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from sievework.llm.common import documents
+from sievework.llm.common import documents, release
 from sievework.plans.staging import materialise
 
 BITS = 256
@@ -103,6 +104,7 @@ def fingerprint_with_next(df: DataFrame, id_col: str = "doc_id", text_col: str =
                 yield batch(rows, id_type)
         if held is not None:
             yield batch([(held[0], None, None, held[2].hex(), None, None, None, 1, part, held[1])], id_type)
+        release()
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -111,6 +113,7 @@ def fingerprint_with_next(df: DataFrame, id_col: str = "doc_id", text_col: str =
                 rows.append((*_row(r["doc_id"], r["text"], bytes.fromhex(r["fp"]), r["next_text"], bytes.fromhex(r["next_fp"])), None, 0, None))
             if rows:
                 yield batch(rows, b.schema.field(0).type)
+        release()
 
     dealt = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     schema = f"doc_id {kind}, {_COLUMNS}, edge int, part int, text string"
@@ -120,7 +123,7 @@ def fingerprint_with_next(df: DataFrame, id_col: str = "doc_id", text_col: str =
     parts = first.select("part").withColumn("following", F.coalesce(F.lead("part").over(order), F.min("part").over(Window.partitionBy())))
     last = done.where("edge = 1").select("doc_id", "text", F.col("fingerprint").alias("fp"), "part")
     joined = last.join(parts, "part").join(first.withColumnRenamed("part", "following"), "following").select("doc_id", "text", "fp", "next_text", "next_fp")
-    rest = joined.mapInArrow(close, schema)
+    rest = materialise(joined.mapInArrow(close, schema), "closed")
     keep = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     return done.where("edge is null").select(*keep).unionByName(rest.select(*keep))
 
@@ -131,41 +134,96 @@ def _longs(column: str):
     return F.array(*[F.shiftleft(half(16 * i + 1), 32).bitwiseOR(half(16 * i + 9)) for i in range(4)])
 
 
-def _distance(a, b):
-    return sum(F.bit_count(F.element_at(a, i + 1).bitwiseXOR(F.element_at(b, i + 1))) for i in range(4))
+#: Bits within which op5 looks for other fingerprints: about one edited word in three hundred.
+RADIUS = 12
+#: Rows of a search's own postings up to which they are broadcast.
+FEW_POSTS = 200_000
 
 
-def links(fps: DataFrame, radius: int = 3, crowded: int = 64) -> DataFrame:
-    """(src, dst, distance), src < dst, for all distinct fingerprints within radius bits (0 to 3).
+#: Tables that a search may take; a wide radius over many fingerprints then meets more unrelated ones.
+MOST_TABLES = 1_000
 
-    fps: a column fingerprint of 64 hex digits; nulls take no part.
+
+def plan(radius: int, n: int, few: float = 8.0) -> list[tuple[tuple[int, int], ...]]:
+    """Tables complete for the radius: per table the (first bit, bits) of its blocks.
+
+    With the least number of whole blocks for which a fingerprint meets, over all tables, at most
+    `few` of n unrelated ones; or else the largest number that needs no more than MOST_TABLES.
+    """
+    if not 0 <= radius < BITS:
+        raise ValueError(f"a radius of 0 to {BITS - 1} bits")
+    whole = 1
+    while (
+        n * math.comb(radius + whole, whole) > few * 2.0 ** (whole * (BITS // (radius + whole)))
+        and radius + whole < BITS and math.comb(radius + whole + 1, whole + 1) <= MOST_TABLES
+    ):
+        whole += 1
+    cuts = [BITS * i // (radius + whole) for i in range(radius + whole + 1)]
+    return [*combinations([(s, e - s) for s, e in zip(cuts, cuts[1:])], whole)]
+
+
+def _block(words, start: int, bits: int):
+    """Bits start to start + bits of four 64-bit words, as a long; a block may stand in two or more words."""
+    parts = []
+    while bits:
+        i, at = divmod(start, 64)
+        n = min(bits, 64 - at)
+        part = F.shiftrightunsigned(words[i], 64 - at - n)
+        parts.append((part.bitwiseAND(F.lit((1 << n) - 1)) if n < 64 else part, n))
+        start, bits = start + n, bits - n
+    return parts
+
+
+def _same(a, b, blocks) -> object:
+    """Whether two fingerprints agree on all the blocks."""
+    test = F.lit(True)
+    for block in blocks:
+        for (x, _), (y, _) in zip(_block(a, *block), _block(b, *block)):
+            test = test & (x == y)
+    return test
+
+
+def links(fps: DataFrame, radius: int = RADIUS, of: DataFrame | None = None) -> DataFrame:
+    """(src, dst, distance) for all distinct fingerprints within radius bits of each other.
+
+    fps: a column fingerprint of 64 hex digits; nulls take no part, repeated ones count once. Without
+    `of` every pair stands once, src < dst. With `of`, a table of the same column, src runs over its
+    fingerprints and dst over those of fps other than src. An empty table has no links.
     """
-    if not 0 <= radius <= 3:
-        raise ValueError("the tables are complete for a radius of 0 to 3 bits")
-    unique = materialise(fps.where("fingerprint is not null").select("fingerprint").distinct().withColumn("w", _longs("fingerprint")), "blocks")
-    tables = F.array(*[F.concat(F.lit(f"{i}:"), F.substring("fingerprint", 16 * i + 1, 16)) for i in range(4)])
-    posts = unique.select("fingerprint", "w", F.explode(tables).alias("key"))
-    sizes = posts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    met = materialise(posts.join(sizes, "key"), "met")
-    some = met.where(F.col("n") <= crowded)
-    cuts = [(1, 11), (12, 11), (23, 11), (34, 11), (45, 10), (55, 10)]
-    blocks = [F.substring("fingerprint", s, n) for s, n in cuts]
-    finer = F.array(*[F.concat(F.lit(f"{t}:"), *[blocks[i] for i in three]) for t, three in enumerate(combinations(range(6), 3))])
-    many = met.where(F.col("n") > crowded).select("fingerprint", "w").distinct().select("fingerprint", "w", F.explode(finer).alias("key"))
-
-    def pairs(p: DataFrame) -> DataFrame:
-        a = p.select("key", F.col("fingerprint").alias("src"), F.col("w").alias("wa"))
-        b = p.select("key", F.col("fingerprint").alias("dst"), F.col("w").alias("wb"))
-        return a.join(b, (a["key"] == b["key"]) & (F.col("src") < F.col("dst")) & (_distance(F.col("wa"), F.col("wb")) <= radius)).select("src", "dst", _distance(F.col("wa"), F.col("wb")).alias("distance"))
-
-    return pairs(some).unionByName(pairs(many)).distinct()
+    words = [f"w{i}" for i in range(4)]
+
+    def numbered(df: DataFrame) -> DataFrame:
+        d = df.where("fingerprint is not null").select("fingerprint").distinct().withColumn("w", _longs("fingerprint"))
+        return d.select("fingerprint", *[F.element_at("w", i + 1).alias(x) for i, x in enumerate(words)])
+
+    unique = materialise(numbered(fps).withColumn("n", F.monotonically_increasing_id()), "blocks")  # written down, so that the numbers stay
+    rows = unique.count()
+    tables = plan(radius, rows)
+    key = lambda t: F.xxhash64(F.lit(t), *[x for block in tables[t] for x, _ in _block([F.col(w) for w in words], *block)])
+    post = lambda df: df.select("n", *words, F.posexplode(F.array(*[key(t) for t in range(len(tables))])).alias("t", "key"))
+    asked = unique if of is None else unique.join(of.select("fingerprint").distinct(), "fingerprint")
+    a = post(asked).select("key", "t", F.col("n").alias("src"), *[F.col(w).alias(f"a_{w}") for w in words])
+    b = post(unique).select("key", F.col("n").alias("dst"), *[F.col(w).alias(f"b_{w}") for w in words])
+    x, y = ([F.col(f"{s}_{w}") for w in words] for s in "ab")
+    if of is not None and asked.count() * len(tables) <= FEW_POSTS:
+        a = F.broadcast(a)  # so many rows at most; a larger search is dealt out by key
+    other = F.col("src") < F.col("dst") if of is None else F.col("src") != F.col("dst")
+    apart = sum(F.bit_count(p.bitwiseXOR(q)) for p, q in zip(x, y))
+    first = F.coalesce(*[F.when(_same(x, y, blocks), F.lit(t)) for t, blocks in enumerate(tables)])
+    met = b.join(a, (a["key"] == b["key"]) & other & (apart <= radius)).where(F.col("t") == first).select("src", "dst", apart.alias("distance"))
+    names = unique.select("n", "fingerprint")
+    found = met.join(names.select(F.col("n").alias("src"), F.col("fingerprint").alias("s")), "src").join(names.select(F.col("n").alias("dst"), F.col("fingerprint").alias("d")), "dst").select("s", "d", "distance")
+    if of is None:  # by number each pair came once; by name the lesser is src
+        return found.select(F.least("s", "d").alias("src"), F.greatest("s", "d").alias("dst"), "distance")
+    return found.select(F.col("s").alias("src"), F.col("d").alias("dst"), "distance")
 
 
 def op5_fingerprints(spark, sf_dir: str) -> DataFrame:
-    """Beside the contract's columns: class_id, the smallest id with this fingerprint, and n_near,
-    how many other distinct fingerprints the block tables find within three bits."""
-    found = materialise(fingerprint_with_next(documents(spark, sf_dir)), "with_next")
-    near = links(found)
-    degree = near.select(F.explode(F.array("src", "dst")).alias("fingerprint")).groupBy("fingerprint").agg(F.count("*").alias("n_near"))
-    classes = found.groupBy("fingerprint").agg(F.min("doc_id").alias("class_id")).join(degree, "fingerprint", "left")
-    return found.join(classes, "fingerprint").select(*[c for c in found.columns], "class_id", F.coalesce("n_near", F.lit(0)).alias("n_near"))
+    """Beside the contract's columns: class_id, the smallest id with this fingerprint, and n_near: for the
+    search's queries, the rows whose id is divisible by 20, how many other distinct fingerprints of all
+    rows lie within the radius; null for other rows."""
+    found = fingerprint_with_next(documents(spark, sf_dir))
+    query = F.col("doc_id") % 20 == 0
+    near = links(found, of=found.where(query)).groupBy(F.col("src").alias("fingerprint")).agg(F.count("*").alias("n_near"))
+    classes = found.groupBy("fingerprint").agg(F.min("doc_id").alias("class_id")).join(near, "fingerprint", "left")
+    return found.join(classes, "fingerprint").select(*found.columns, "class_id", F.when(query, F.coalesce("n_near", F.lit(0))).alias("n_near"))
