@@ -304,17 +304,51 @@ def rule_set(df: DataFrame, ctx: Context, document: dict, text_column: str, outp
     return StepResult(d.select(*df.columns, *[F.col("__m")[n].alias(f"{output_prefix}{n}") for n in names]))
 
 
-def render(kind: str, value: Column) -> Column:
-    """Spellings that keep the content: spaced, split_lines, spelled_out_digits."""
+#: The words that stand for digits.
+DIGIT_WORDS = ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine")
+
+
+def _mapped(value: Column, mapping: dict[str, str]) -> Column:
+    """From left to right the longest key that stands at a place becomes its value; other characters stay."""
+    keys = sorted((k for k in mapping if k), key=lambda k: (-len(k), k))
+    if not keys:
+        return value
+    table = F.create_map(*[F.lit(x) for k in keys for x in (k, mapping[k])])
+    tokens = F.regexp_extract_all(value, F.lit("(?s)" + "|".join(rf"\Q{k}\E" for k in keys) + "|."), F.lit(0))
+    return F.array_join(F.transform(tokens, lambda t: F.coalesce(F.try_element_at(table, t), t)), "")
+
+
+def render(kind: str, value: Column, mapping: dict[str, str] | None = None) -> Column:
+    """Another spelling of a value: spaced, split_lines, spelled_out_digits (each character a token), or a mapping."""
     if kind == "spaced":
         return F.array_join(F.split(value, ""), " ")
     if kind == "split_lines":
         return F.array_join(F.split(value, ""), "\n")
     if kind == "spelled_out_digits":
-        out = value
-        for d, w in enumerate("zero one two three four five six seven eight nine".split()):
-            out = F.replace(out, F.lit(str(d)), F.lit(f" {w} "))
-        return F.trim(F.regexp_replace(out, " +", " "))
+        table = F.create_map(*[F.lit(x) for d, w in enumerate(DIGIT_WORDS) for x in (str(d), w)])
+        return F.array_join(F.transform(F.split(value, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), " ")
+    if kind == "mapping" and mapping:
+        return _mapped(value, mapping)
+    raise Refused("rendering_not_runnable", kind)
+
+
+def normalise_rendering(kind: str, value: Column, mapping: dict[str, str] | None = None) -> Column:
+    """A rendering's inverse: digits_only, strip_delimiters, words_to_digits (null where tokens are not parted
+    by one space each), or mapping_inverse of the mapping it was rendered by, whose values are distinct."""
+    if kind == "digits_only":
+        return F.regexp_replace(value, "[^0-9]", "")
+    if kind == "strip_delimiters":
+        return F.regexp_replace(value, r"[ \n.-]", "")
+    if kind == "words_to_digits":
+        token = f"(?:(?:{'|'.join(DIGIT_WORDS)})(?= |\\z)|.)"
+        table = F.create_map(*[F.lit(x) for d, w in enumerate(DIGIT_WORDS) for x in (w, str(d))])
+        found = F.regexp_extract_all(value, F.lit(f"(?s)({token})(?: |\\z)"), F.lit(1))
+        text = F.array_join(F.transform(found, lambda t: F.coalesce(F.try_element_at(table, t), t)), "")
+        return F.when(value.rlike(f"(?s)\\A(?:{token}(?: |\\z))*\\z"), text)
+    if kind == "mapping_inverse" and mapping:
+        if len(set(mapping.values())) != len(mapping):
+            raise Refused("mapping_not_invertible")
+        return _mapped(value, {v: k for k, v in mapping.items()})
     raise Refused("rendering_not_runnable", kind)
 
 

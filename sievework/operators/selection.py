@@ -47,36 +47,33 @@ def bands_for(threshold: float, permutations: int) -> tuple[int, int]:
 
 
 def minhash_signatures(df: DataFrame, text, shingle: str, size: int, permutations: int) -> DataFrame:
-    """df with column __sig: minima of (a*h + b) mod (2^61 - 1) over the shingles' hashes, low 32 bits."""
+    """df with column __sig: per permutation the least of the upper halves of a*h + b (mod 2^64, a odd) over
+    the distinct shingles' hashes; a text of fewer than `size` tokens is one shingle, one without any has none."""
     rng = np.random.default_rng(1)
-    a, b = rng.integers(1, (1 << 61) - 1, permutations, dtype=np.uint64), rng.integers(0, (1 << 61) - 1, permutations, dtype=np.uint64)
-    prime = np.uint64((1 << 61) - 1)
+    a, b = (rng.integers(0, 1 << 64, permutations, dtype=np.uint64) for _ in range(2))
+    a |= np.uint64(1)
 
     @F.pandas_udf("array<int>")
     def sign(column: pd.Series) -> pd.Series:
         import xxhash
 
-        def one(parts: list[str]) -> np.ndarray:
-            h = np.array([xxhash.xxh32_intdigest(p) for p in parts], dtype=np.uint64)
+        def hashes(tokens) -> np.ndarray:
+            h = np.fromiter(map(xxhash.xxh64_intdigest, tokens), dtype=np.uint64, count=len(tokens))
+            n = min(size, len(h))
+            out = h[: len(h) - n + 1].copy()
+            for i in range(1, n):
+                out = out * np.uint64(0xC2B2AE3D27D4EB4F) + h[i : len(h) - n + 1 + i]
+            out = (out ^ (out >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            return np.unique(out ^ (out >> np.uint64(27)))
+
+        def one(h: np.ndarray) -> np.ndarray:
             low = np.full(permutations, np.iinfo(np.uint64).max, dtype=np.uint64)
             for s in range(0, len(h), 4096):
-                x = h[s : s + 4096, None]
-                hi = (a >> np.uint64(32))[None, :] * x  # (a*h) mod 2^61-1 from two halves, as a*h overflows
-                lo = (a & np.uint64(0xFFFFFFFF))[None, :] * x
-                v = ((hi & np.uint64((1 << 29) - 1)) << np.uint64(32)) + (hi >> np.uint64(29)) + (lo & prime) + (lo >> np.uint64(61)) + b[None, :]
-                v = (v & prime) + (v >> np.uint64(61))
-                low = np.minimum(low, np.where(v >= prime, v - prime, v).min(axis=0))
-            return (low & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
-
-        out = []
-        for tokens in column:
-            if shingle == "char":
-                t = "".join(tokens)
-                parts = {t[i : i + size] for i in range(max(1, len(t) - size + 1))} if t else set()
-            else:
-                parts = {" ".join(tokens[i : i + size]) for i in range(max(1, len(tokens) - size + 1))} if len(tokens) else set()
-            out.append(one(sorted(parts)) if parts else None)
-        return pd.Series(out, dtype=object)
+                low = np.minimum(low, (h[s : s + 4096, None] * a[None, :] + b[None, :]).min(axis=0))
+            return (low >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+        tokens = ([t for t in row if t != ""] for row in column)
+        return pd.Series([one(hashes(t)) if t else None for t in tokens], dtype=object)
 
     source = F.split(F.lower(text), "") if shingle == "char" else words(text)
     return df.withColumn("__sig", sign(source))

@@ -281,3 +281,33 @@ def test_export_takes_one_shape(spark, tmp_path):
     assert write_export(d, "sft", str(tmp_path / "a"))["columns"] == ["text"] and write_export(d.drop("text"), "sft", str(tmp_path / "b"))["columns"] == ["prompt", "completion"]
     with pytest.raises(Refused, match="target_columns_missing"):
         write_export(d, "dpo", str(tmp_path / "c"))
+
+
+def test_renderings_and_their_inverses(spark):
+    rng = random.Random(21)
+    values = ["", "1 2", "a-1", "10", "x\n3"] + ["".join(rng.choice("0123456789ab -.") for _ in range(rng.randint(1, 12))) for _ in range(60)]
+    d = spark.createDataFrame([(v,) for v in values], "v string")
+    mapping = {"1": "uno", "12": "doce", "a": "[at]", ".": "(dot)"}
+
+    def mapped(v):
+        out, i = "", 0
+        while i < len(v):
+            k = next((k for k in sorted(mapping, key=len, reverse=True) if v.startswith(k, i)), None)
+            out, i = out + (mapping[k] if k else v[i]), i + (len(k) if k else 1)
+        return out
+
+    words = dict(enumerate(labels.DIGIT_WORDS))
+    spelled = {v: " ".join(words[int(c)] if c.isdigit() else c for c in v) for v in values}
+    r = d.select("v", labels.render("spaced", F.col("v")).alias("s"), labels.render("spelled_out_digits", F.col("v")).alias("w"), labels.render("mapping", F.col("v"), mapping).alias("m"))
+    r = r.withColumn("back", labels.normalise_rendering("words_to_digits", F.col("w"))).withColumn("digits", labels.normalise_rendering("digits_only", F.col("s"))).withColumn("plain", labels.normalise_rendering("strip_delimiters", F.col("s")))
+    for x in r.collect():
+        v = x["v"]
+        assert x["s"] == " ".join(v) and x["w"] == spelled[v] and x["m"] == mapped(v) and x["back"] == v, v
+        assert x["digits"] == re.sub("[^0-9]", "", v) and x["plain"] == re.sub(r"[ \n.-]", "", v)
+    codes = {"0": "<z>", "1": "<o>"}
+    e = d.select("v", labels.normalise_rendering("mapping_inverse", labels.render("mapping", F.col("v"), codes), codes).alias("b"))
+    assert all(x["v"] == x["b"] for x in e.collect())
+    bad = spark.createDataFrame([("ab",), ("one two",)], "v string").select(labels.normalise_rendering("words_to_digits", F.col("v")).alias("b")).collect()
+    assert [x["b"] for x in bad] == [None, "12"]
+    with pytest.raises(Refused, match="mapping_not_invertible"):
+        labels.normalise_rendering("mapping_inverse", F.col("v"), {"a": "x", "b": "x"})
