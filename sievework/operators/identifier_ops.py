@@ -72,3 +72,17 @@ def aba_valid(digits: Column) -> Column:
     w = F.array(*[F.lit(x) for x in (3, 7, 1) * 3])
     total = F.aggregate(F.zip_with(F.split(digits, ""), w, lambda d, x: d.try_cast("int") * x), F.lit(0), lambda a, x: a + x)
     return F.coalesce(digits.rlike("^[0-9]{9}$") & (total % 10 == 0), F.lit(False))
+
+
+#: The character sets of the length-and-charset check.
+CHARSETS = {"digits": "0-9", "upper_alnum": "0-9A-Z"}
+
+
+def length_charset(value: Column, lengths: list[int], charset: str) -> Column:
+    """struct (valid, reason, normalised) of a check without a check digit: after spaces and hyphens go,
+    every character is in the set and the length is one of lengths."""
+    if charset not in CHARSETS or not lengths or not all(1 <= n <= 64 for n in lengths):
+        raise Refused("params_invalid", charset)
+    t = F.regexp_replace(F.coalesce(value, F.lit("")), "[ -]", "")
+    reason = F.when(t == "", "no_characters").when(t.rlike(f"[^{CHARSETS[charset]}]"), "illegal_character").when(~F.length(t).isin(list(lengths)), "wrong_length").otherwise("ok")
+    return F.struct((reason == "ok").alias("valid"), reason.alias("reason"), t.alias("normalised"))

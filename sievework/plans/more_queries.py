@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from sievework.operators import audits, behaviour, calibration, filters, generation, labels, reports, selection
+from sievework.operators import audits, behaviour, calibration, filters, generation, identifier_ops, labels, reports, selection
 from sievework.operators.rows import KEY, OCC, ORIGIN, SPLIT, Context
 from sievework.plans.queries import CTX, DECISIONS, DRAW, ROWS, RUN, _generated, _run, decided, query, rows, chats, table
 from sievework.plans.staging import stage_path
@@ -236,6 +236,13 @@ def decile_band(spark, sf_dir):
     return d.groupBy(reports.decile_band(d, "n_chars").alias("band")).agg(F.count("*").alias("n"))
 
 
+@query("""SELECT reason, count(*) AS n FROM (SELECT CASE WHEN t = '' THEN 'no_characters' WHEN regexp_matches(t, '[^0-9A-Z]') THEN 'illegal_character' WHEN length(t) NOT IN (4, 14) THEN 'wrong_length' ELSE 'ok' END AS reason FROM (SELECT regexp_replace(coalesce(CASE doc_id % 4 WHEN 0 THEN upper(source) WHEN 1 THEN lang || '.' WHEN 2 THEN ' - ' ELSE upper(source) || ' - ' || upper(lang) || '-00000000' END, ''), '[ -]', '', 'g') AS t FROM documents)) GROUP BY 1""")
+def length_charset(spark, sf_dir):
+    k = F.col("doc_id") % 4
+    value = F.when(k == 0, F.upper("source")).when(k == 1, F.concat("lang", F.lit("."))).when(k == 2, F.lit(" - ")).otherwise(F.concat(F.upper("source"), F.lit(" - "), F.upper("lang"), F.lit("-00000000")))
+    return table(spark, sf_dir, "documents").groupBy(identifier_ops.length_charset(value, [4, 14], "upper_alnum")["reason"].alias("reason")).agg(F.count("*").alias("n"))
+
+
 # Selection
 @query(f"""WITH RECURSIVE {PAIRS}, {ROWS}, byk AS (SELECT k, min(doc_id) AS id FROM rows WHERE doc_id IN (SELECT vec_id FROM embeddings) GROUP BY k), kp AS (SELECT a.k AS x, b.k AS y FROM p JOIN byk a ON p.a = a.id JOIN byk b ON p.b = b.id), kb AS (SELECT x, y FROM kp UNION SELECT y, x FROM kp), kr AS (SELECT x, y FROM kb UNION SELECT r.x, e.y FROM kr r JOIN kb e ON r.y = e.x),
 grp AS (SELECT r.k, r.occ, r.split, coalesce((SELECT least(r.k, min(y)) FROM kr WHERE kr.x = r.k), r.k) AS g, r.k IN (SELECT x FROM kr) AS tied FROM rows r), low AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY k, occ) AS rn, min(split) OVER (PARTITION BY g) <> max(split) OVER (PARTITION BY g) AS spans FROM grp)
