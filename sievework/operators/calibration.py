@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
+from sievework.operators.filters import EMPTY
 from sievework.operators.reports import auroc, band_shares, reliability
 from sievework.plans.staging import materialise
 
@@ -65,6 +66,38 @@ def sanity_checks(df: DataFrame, score: str, label: str, positive: str, seed: in
     return out
 
 
+#: Fixed value: a held-out rater that ranks so well is part of its own consensus.
+CIRCULAR = 0.99
+
+
+def further_checks(area: float | None, ceiling: float | None = None, shortcuts: dict[str, float] | None = None, negative_low: float | None = None) -> dict[str, bool]:
+    """The checks that apply, by what there is: ceiling_circularity, that no rater is part of the consensus it
+    is held against; shortcut_comparison, that no column alone (column -> area) ranks the labels as well as the
+    scores do; negative_class_control, that negatives in the positives' place do not win more than half the
+    time (the low end of their interval)."""
+    out = {}
+    if ceiling is not None:
+        out["ceiling_circularity"] = ceiling < CIRCULAR
+    if shortcuts is not None and area is not None:
+        out["shortcut_comparison"] = all(v < area for v in shortcuts.values())
+    if negative_low is not None:
+        out["negative_class_control"] = negative_low <= 0.5
+    return out
+
+
+def shortcut_areas(df: DataFrame, columns: list[str], label: str, positive: str) -> DataFrame:
+    """(column, auroc): how well each column's own values rank the labels, by the positives' share of a value."""
+    y = F.col(label).cast("string") == positive
+    known = df.where(F.col(label).isNotNull())
+
+    def one(c: str) -> DataFrame:
+        v = F.coalesce(F.col(c).cast("string"), F.lit(EMPTY))
+        share = known.groupBy(v.alias("__v")).agg(F.avg(y.cast("double")).alias("__share"))
+        return auroc(known.join(share, v.eqNullSafe(F.col("__v"))), "__share", y).select(F.lit(c).alias("column"), "auroc")
+
+    return reduce(DataFrame.unionByName, [one(c) for c in columns])
+
+
 def verdict(checks: dict[str, bool], area: float | None, low: float | None, target: float | None = None, comparison: float | None = None, ceiling_low: float | None = None) -> str:
     """invalid, insufficient, passes or fails; the first rule that decides."""
     if not all(checks.values()):
@@ -80,11 +113,16 @@ def verdict(checks: dict[str, bool], area: float | None, low: float | None, targ
     return "fails"
 
 
-def calibration_record(df: DataFrame, score: str, label: str, positive: str, unit: str, target: float | None = None, seed: int = 0) -> dict:
-    """Area with interval, reliability bins, band shares, checks and verdict. df: row_key and the named columns."""
+def calibration_record(df: DataFrame, score: str, label: str, positive: str, unit: str, target: float | None = None, seed: int = 0, ceiling: float | None = None, columns: list[str] | None = None, negative_low: float | None = None) -> dict:
+    """Area with interval, reliability bins, band shares, checks and verdict. df: row_key and the named columns.
+
+    ceiling, columns and negative_low, where given, add the checks that need them.
+    """
     checks = sanity_checks(df, score, label, positive, seed)
     a = bootstrap_auroc(df, score, label, positive, unit, seed=seed).first() if checks["both_classes"] else {"auroc": None, "low": None, "high": None}
     y = F.col(label).cast("string") == positive
+    shortcuts = {r["column"]: r["auroc"] for r in shortcut_areas(df, columns, label, positive).collect() if r["auroc"] is not None} if columns else None  # one row a column
+    checks |= further_checks(a["auroc"], ceiling, shortcuts, negative_low)
     known = df.where(F.col(label).isNotNull())
     return {
         "auroc": a["auroc"], "low": a["low"], "high": a["high"], "checks": checks, "verdict": verdict(checks, a["auroc"], a["low"], target),

@@ -243,6 +243,13 @@ def length_charset(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy(identifier_ops.length_charset(value, [4, 14], "upper_alnum")["reason"].alias("reason")).agg(F.count("*").alias("n"))
 
 
+@query(f"""WITH {ROWS}, l AS (SELECT quality = 1 AS y, coalesce(lang, '(empty)') AS lang, coalesce(source, '(empty)') AS source FROM rows WHERE quality IS NOT NULL), e AS (SELECT 'lang' AS c, y, avg(y::INT) OVER (PARTITION BY lang) AS p FROM l UNION ALL SELECT 'source', y, avg(y::INT) OVER (PARTITION BY source) FROM l),
+r AS (SELECT c, y, rank() OVER (PARTITION BY c ORDER BY p) + (count(*) OVER (PARTITION BY c, p) - 1) / 2 AS r FROM e)
+SELECT c AS column_name, round((sum(r) FILTER (y) - count(*) FILTER (y) * (count(*) FILTER (y) + 1) / 2) / (count(*) FILTER (y) * count(*) FILTER (NOT y)), 9) AS auroc FROM r GROUP BY 1""")
+def shortcut_areas(spark, sf_dir):
+    return calibration.shortcut_areas(rows(spark, sf_dir, True), ["lang", "source"], "quality", "1").select(F.col("column").alias("column_name"), F.round("auroc", 9).alias("auroc"))
+
+
 # Selection
 @query(f"""WITH RECURSIVE {PAIRS}, {ROWS}, byk AS (SELECT k, min(doc_id) AS id FROM rows WHERE doc_id IN (SELECT vec_id FROM embeddings) GROUP BY k), kp AS (SELECT a.k AS x, b.k AS y FROM p JOIN byk a ON p.a = a.id JOIN byk b ON p.b = b.id), kb AS (SELECT x, y FROM kp UNION SELECT y, x FROM kp), kr AS (SELECT x, y FROM kb UNION SELECT r.x, e.y FROM kr r JOIN kb e ON r.y = e.x),
 grp AS (SELECT r.k, r.occ, r.split, coalesce((SELECT least(r.k, min(y)) FROM kr WHERE kr.x = r.k), r.k) AS g, r.k IN (SELECT x FROM kr) AS tied FROM rows r), low AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY k, occ) AS rn, min(split) OVER (PARTITION BY g) <> max(split) OVER (PARTITION BY g) AS spans FROM grp)

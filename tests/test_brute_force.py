@@ -311,3 +311,15 @@ def test_renderings_and_their_inverses(spark):
     assert [x["b"] for x in bad] == [None, "12"]
     with pytest.raises(Refused, match="mapping_not_invertible"):
         labels.normalise_rendering("mapping_inverse", F.col("v"), {"a": "x", "b": "x"})
+
+
+def test_calibration_checks(spark):
+    from sievework.operators.calibration import calibration_record, further_checks
+
+    assert further_checks(0.8) == {} and further_checks(0.8, 1.0, {"a": 0.9}, 0.6) == {"ceiling_circularity": False, "shortcut_comparison": False, "negative_class_control": False}
+    rng = random.Random(22)
+    rows = [(str(i), i % 40, str(int(i % 2 == 0)), rng.random() * 0.5 + 0.4 * (i % 2 == 0), "xy"[i % 2], rng.choice("pq")) for i in range(400)]
+    d = spark.createDataFrame(rows, "row_key string, u int, label string, p double, tell string, noise string")
+    assert calibration_record(d, "p", "label", "1", "u", columns=["tell"])["verdict"] == "invalid"
+    r = calibration_record(d, "p", "label", "1", "u", columns=["noise"], ceiling=0.9, negative_low=0.4)
+    assert r["verdict"] == "passes" and r["checks"]["shortcut_comparison"] and r["checks"]["ceiling_circularity"]
