@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from sievework.llm.common import documents, id_bucket
+from sievework.llm.common import documents, id_bucket, release
 
 UNKNOWN = "und"
 _GRAM = 4
@@ -121,17 +121,22 @@ class Filters:
 
 
 def fit_filters(training: DataFrame, per_language: int = 1_000) -> Filters:
-    """Filters from (id, text, lang). Null langs and null texts teach nothing.
+    """Filters from (id, text, lang). Null ids, langs and texts teach nothing.
 
     The fit sees at most per_language whole texts of each language, the first by a hash of the id;
-    they are what the driver holds. Everything else covers all rows.
+    they are what the driver holds. Each language's count tells below which hash these lie, so only
+    some twice as many texts move. Everything else covers all rows.
     """
 
-    known = training.where("lang is not null and text is not null")
-    draw = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("id").cast("string")), "id")
-    ids = known.select("id", "lang").withColumn("r", F.row_number().over(draw)).where(F.col("r") <= per_language).select("id", "lang").distinct()
+    known = training.where("id is not null and lang is not null and text is not null")
+    draw = F.xxhash64(F.col("id").cast("string"))
+    each = known.groupBy("lang").agg(F.count("*").alias("n"))  # one row a language
+    share = F.shiftrightunsigned(draw, 11) / F.lit(float(1 << 53))
+    some = known.join(F.broadcast(each), "lang").where(share * F.col("n") < 2 * per_language + 100).select("id", "lang", "text")
+    order = Window.partitionBy("lang").orderBy(F.shiftrightunsigned(draw, 11), "id", "text")
+    drawn = some.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language)
     texts: dict[str, list[str]] = {}
-    for lang, text in known.join(ids, ["id", "lang"], "left_semi").select("lang", "text").toLocalIterator():
+    for lang, text in drawn.select("lang", "text").toLocalIterator():
         texts.setdefault(lang, []).append(text)
     return Filters().fit(texts)
 
@@ -145,11 +150,13 @@ def predict_language(df: DataFrame, filters: Filters, id_col: str = "doc_id", te
         for b in batches:
             out = [f.predict(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in out], type=pa.string()), pa.array([x[1] for x in out], type=pa.float64())], names=["id", "lang_pred", "score"])
+        release()
 
     return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {dict(df.dtypes)[id_col]}, lang_pred string, score double")
 
 
 def op9_language(spark, sf_dir: str) -> DataFrame:
+    """Every document's language by its text; null texts and those without a letter are 'und'."""
     docs = documents(spark, sf_dir)
     filters = fit_filters(docs.where(id_bucket("doc_id", 4) != 2).select(F.col("doc_id").alias("id"), "text", "lang"))
     return predict_language(docs, filters).select(F.col("id").alias("doc_id"), (id_bucket("id", 4) == 2).alias("held_out"), "lang_pred", "score")

@@ -20,12 +20,12 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from sievework.llm.common import documents
+from sievework.llm.common import documents, release
 
 #: Phrases whose every occurrence is listed, whatever the blocks.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-#: Notices that projects put on their texts; (label, words of the notice).
+#: Notices that projects put on their texts, and paragraphs of the licenses; (label, words). The licenses' own public wording.
 TEMPLATES = (
     ("mit", "Released under the MIT License"),
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction"),
@@ -45,6 +45,22 @@ TEMPLATES = (
     ("cc-by-sa", "Licensed under CC BY-SA 4.0"),
     ("cc-by", "Licensed under CC BY 4.0"),
     ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"),
+    ("mit", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software"),
+    ("mit", "The software is provided as is, without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement"),
+    ("apache", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied"),
+    ("gpl", "You should have received a copy of the GNU General Public License along with this program"),
+    ("gpl", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details"),
+    ("bsd", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer"),
+    ("bsd", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution"),
+    ("bsd-3-clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("boost", "Distributed under the Boost Software License, Version 1.0"),
+    ("zlib", "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software"),
+    ("epl", "This program and the accompanying materials are made available under the terms of the Eclipse Public License"),
+    ("cddl", "The contents of this file are subject to the terms of the Common Development and Distribution License"),
+    ("artistic", "This is free software; you can redistribute it under the terms of the Artistic License"),
+    ("wtfpl", "Do What The Fuck You Want To Public License"),
+    ("ofl", "This Font Software is licensed under the SIL Open Font License, Version 1.1"),
+    ("gfdl", "Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free Documentation License"),
     ("proprietary", "All rights reserved. No part of this work may be reproduced without prior written permission"),
 )
 THRESHOLD = 0.9
@@ -92,12 +108,10 @@ class Index:
             self.templates.append((label, ranks, need))
             for t in ranks[: len(ranks) - need + 1]:
                 self.prefix.setdefault(t, []).append(k)
-        self.sets = [frozenset(ranks) for _, ranks, _ in self.templates]
         self.first = frozenset(t for t, i in self.rank.items() if i in self.prefix)
 
     def match(self, words: list[bytes]) -> list[tuple[int, float]]:
-        """(template, containment) of each template that the block contains; of a template within
-        another that is found too, only the larger."""
+        """(template, containment) of each template that the block contains."""
         distinct = set(words)
         own = sorted(self.rank[w] for w in distinct if w in self.rank)
         found = []
@@ -117,7 +131,7 @@ class Index:
                     j += 1
             if hits >= need:
                 found.append((k, hits / len(ranks)))
-        return [(k, c) for k, c in found if not any(self.sets[k] < self.sets[o] for o, _ in found)]
+        return found
 
 
 def places(words: list[bytes], phrases: dict[str, str]) -> list[tuple[int, str]]:
@@ -158,7 +172,8 @@ def token_frequency(df: DataFrame, text_col: str, templates) -> dict[bytes, int]
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES, phrases: dict[str, str] = PHRASES, threshold: float = THRESHOLD) -> DataFrame:
-    """(id, n_words, places, matches), one row per row; a null text counts as empty.
+    """(id, n_words, places, matches), one row per row; a null text counts as empty. Rows that share an id
+    keep their own places; other columns play no part.
 
     places: every occurrence of a phrase, from its first word. matches: every (block, template) at
     or over the threshold, a block being its first word's place and its length in words.
@@ -188,6 +203,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", template
                 ],
                 names=["id", "n_words", "places", "matches"],
             )
+        release()
 
     return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {dict(df.dtypes)[id_col]}, n_words long, {_FOUND}")
 

@@ -114,6 +114,7 @@ def mix(df: DataFrame, weights: tuple = WEIGHTS, limit: int = LIMIT, block: int
 
 
 def op2_mixture(spark, sf_dir: str) -> DataFrame:
+    """How many words the mixture takes of every document; null texts and those without words give none."""
     return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 

@@ -127,5 +127,6 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def op10_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and component; null texts are empty, and all texts without words are linked."""
     found = near_components(documents(spark, sf_dir))
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))

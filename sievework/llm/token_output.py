@@ -212,7 +212,8 @@ def encoder(path: str) -> WordEncoder:
 def tokenise(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> DataFrame:
     """(doc_id, part, seq, ids) in ascending order of id, then text; null ids first, null texts empty.
 
-    Rows that share an id all stay. Each document's ids end with end_id.
+    Rows that share an id all stay. Each document's ids end with end_id. An empty table gives no rows;
+    columns other than the two named play no part.
     """
     kind = dict(df.dtypes)[id_col]
     arrow = pa.list_(pa.field("element", pa.int32()))
@@ -264,7 +265,7 @@ def read_tokens(spark, path: str, columns: list[str] | None = None, low: int | N
 
 
 def token_index(spark, path: str) -> DataFrame:
-    """(doc_id, part, seq, start, n_tokens, ids_crc32), all from the files at path.
+    """(doc_id, part, seq, start, n_tokens, ids_crc32), all from the files at path; none from empty files.
 
     start counts the ids of all documents before; it is 0 for the first. Numbering runs within each
     part, then over one total per part, so no task sees more than a part.
