@@ -9,6 +9,7 @@ bytes losslessly and as the round trip that tests the parser.
 from __future__ import annotations
 
 import hashlib
+import math
 import struct
 import zlib
 from collections.abc import Iterator
@@ -18,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from sievework.llm.common import documents
+from sievework.llm.common import documents, release
 
 # Element ids of the public Matroska specification (fixed values).
 EBML, DOCTYPE = 0x1A45DFA3, 0x4282
@@ -106,7 +107,12 @@ def _uint(data, s: int, e: int) -> int:
 
 
 def _float(data, s: int, e: int) -> float:
-    return {0: lambda b: 0.0, 4: lambda b: struct.unpack(">f", b)[0], 8: lambda b: struct.unpack(">d", b)[0]}[e - s](bytes(data[s:e]))
+    if e - s not in (0, 4, 8):
+        raise MatroskaError(f"a float of {e - s} bytes")
+    value = struct.unpack({0: ">0s", 4: ">f", 8: ">d"}[e - s], bytes(data[s:e]))[0] if e > s else 0.0
+    if not math.isfinite(value):
+        raise MatroskaError("a float that is no number")
+    return value
 
 
 def _laces(data, at: int, end: int, kind: int) -> list[tuple[int, int]]:
@@ -149,7 +155,11 @@ def _laces(data, at: int, end: int, kind: int) -> list[tuple[int, int]]:
 
 
 def parse(data: bytes) -> Media:
-    """The file's tracks, packets and cues; raises MatroskaError where the bytes are no Matroska."""
+    """The file's tracks, packets and cues; raises MatroskaError where the bytes are no Matroska.
+
+    Packets of a laced block follow each other by the track's default duration or, for PCM, by their
+    samples; a track that gives neither (or a rate or channels of 0) has them all at the block's time.
+    """
     doctype, scale, duration, tracks, packets, cues = "", 1_000_000, None, {}, [], []
     clusters = blocks = 0
     segment_at = None
@@ -188,7 +198,7 @@ def parse(data: bytes) -> Media:
             packets.append(Packet(track, when, offset, length, clusters, blocks, LACINGS[kind], bool(flags & 0x80) if simple else keyframe))
             if t.get("default_ns"):
                 when += t["default_ns"]
-            elif t.get("codec", "").startswith("A_PCM") and t["bits"]:
+            elif t.get("codec", "").startswith("A_PCM") and t["bits"] > 0 and t["channels"] > 0 and t["rate"] > 0:
                 when += round(length * 8 / (t["bits"] * t["channels"]) / t["rate"] * 1e9)
         blocks += 1
 
@@ -331,6 +341,7 @@ def media_column(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         for b in batches:
             raw = [(t or "").encode("utf-8", "surrogatepass") for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in raw], type=pa.int64()), pa.array([mux(pad(x)) for x in raw], type=pa.binary())], names=["id", "n_bytes", "media"])
+        release()
 
     return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {dict(df.dtypes)[id_col]}, n_bytes long, media binary")
 
@@ -338,7 +349,8 @@ def media_column(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def packet_table(df: DataFrame, id_col: str = "id", media_col: str = "media") -> DataFrame:
     """A row per packet: id, track, timestamp_ns, byte_offset, byte_length, cluster, block, lacing, keyframe, error.
 
-    A value that is null or no Matroska gives one row with its error and nulls.
+    A value that is null or no Matroska gives one row with its error and nulls; a file without packets
+    gives none. Rows that share an id keep their own packets. Other columns play no part.
     """
     names = ["id", "track", "timestamp_ns", "byte_offset", "byte_length", "cluster", "block", "lacing", "keyframe", "error"]
     kinds = [None, pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.string()]
@@ -353,41 +365,54 @@ def packet_table(df: DataFrame, id_col: str = "id", media_col: str = "media") ->
                     rows.append((key, *[None] * 8, str(e)))
             cols = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, type=k or b.schema.field(0).type) for c, k in zip(cols, kinds, strict=True)], names=names)
+        release()
 
     kind = dict(df.dtypes)[id_col]
     return df.select(F.col(id_col).alias("id"), F.col(media_col).alias("media")).mapInArrow(run, f"id {kind}, track long, timestamp_ns long, byte_offset long, byte_length long, cluster long, block long, lacing string, keyframe boolean, error string")
 
 
 def feature(media: Media, samples: np.ndarray) -> str:
-    """One line on the file's structure and its samples."""
-    t = media.tracks[media.packets[0].track]
+    """One line on the file's structure and its samples; of a file without packets, on its structure alone."""
     laces = {k: 0 for k in LACINGS}
     for p in media.packets:
         laces[p.lacing] += 1
+    first, last = (media.packets[0], media.packets[-1]) if media.packets else (None, None)
+    t = media.tracks.get(first.track if first else min(media.tracks, default=0), {"codec": "", "rate": 0.0, "bits": 0})
     x = samples.astype(np.float64) - 128
+    heard = f";mean={x.mean():.4f};rms={np.sqrt((x * x).mean()):.4f};peak={int(np.abs(x).max())}" if x.size else ""
     return (
-        f"codec={t['codec']};rate={t['rate']:g};bits={t['bits']};clusters={media.packets[-1].cluster + 1};blocks={media.packets[-1].block + 1};packets={len(media.packets)};"
+        f"codec={t['codec']};rate={t['rate']:g};bits={t['bits']};clusters={last.cluster + 1 if last else 0};blocks={last.block + 1 if last else 0};packets={len(media.packets)};"
         + ";".join(f"{k}={n}" for k, n in laces.items())
-        + f";cues={len(media.cues)};ms={(media.duration_ns or 0) // 1_000_000};last_ms={media.packets[-1].timestamp_ns // 1_000_000};mean={x.mean():.4f};rms={np.sqrt((x * x).mean()):.4f};peak={int(np.abs(x).max())}"
+        + f";cues={len(media.cues)};ms={(media.duration_ns or 0) // 1_000_000};last_ms={last.timestamp_ns // 1_000_000 if last else 0}" + heard
     )
 
 
 def media_features(df: DataFrame, id_col: str = "id", media_col: str = "media") -> DataFrame:
-    """Digests of the payload that the packets' byte ranges give back, and of the file itself."""
+    """Digests of the payload that the packets' byte ranges give back, and of the file itself; one row per row.
+
+    df also has n_bytes, which passes. A value that is null or no Matroska has its error in the column
+    error and nulls elsewhere; a file without packets has an empty payload. Other columns play no part.
+    """
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for n, data in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                media = parse(data)
+                try:
+                    media = parse(data or b"")
+                except MatroskaError as e:
+                    rows.append((n, *[None] * 6, str(e)))
+                    continue
                 payload = b"".join([data[p.offset : p.offset + p.length] for p in media.packets])
-                rows.append((n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(data), hashlib.sha256(data).hexdigest(), feature(media, np.frombuffer(payload, dtype=np.uint8))))
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, type=k) for c, k in zip(cols, kinds, strict=True)]], names=["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+                rows.append((n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(data), hashlib.sha256(data).hexdigest(), feature(media, np.frombuffer(payload, dtype=np.uint8)), None))
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 8
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, type=k) for c, k in zip(cols, kinds, strict=True)]], names=["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "error"])
+        release()
 
-    return df.select(F.col(id_col).alias("id"), "n_bytes", F.col(media_col).alias("media")).mapInArrow(run, f"id {dict(df.dtypes)[id_col]}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return df.select(F.col(id_col).alias("id"), F.col("n_bytes").cast("long").alias("n_bytes"), F.col(media_col).alias("media")).mapInArrow(run, f"id {dict(df.dtypes)[id_col]}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string")
 
 
 def op1_media_columns(spark, sf_dir: str) -> DataFrame:
+    """Every document's text as a Matroska file, and what its packets give back; null and empty texts are 64 zero bytes."""
     return media_features(media_column(documents(spark, sf_dir))).withColumnRenamed("id", "doc_id")
