@@ -246,12 +246,12 @@ def split_grouped(spark, sf_dir):
     return r.output.groupBy(F.col(SPLIT).alias("split")).agg(F.count("*").alias("n"), F.countDistinct("text").alias("units"))
 
 
-@query()
+@query(f"""WITH {ROWS} SELECT 'text' AS column_name, count(DISTINCT lower(trim(regexp_replace(text, '\s+', ' ', 'g')))) AS n_values, 0 AS shared FROM rows UNION ALL SELECT 'bucket', count(DISTINCT concat_ws('-', source, doc_id % 11)), 0 FROM rows WHERE doc_id % 3 = 0""")
 def split_components(spark, sf_dir):
     """Units over two group columns: rows tied by text or by a shared source bucket."""
     d = rows(spark, sf_dir).withColumn("bucket", F.when(F.col("doc_id") % 3 == 0, F.concat_ws("-", "source", (F.col("doc_id") % 11).cast("string"))))
     r = selection.split(d, CTX, ("train", "test"), (0.8, 0.2), group_columns=("text", "bucket"))
-    return selection.held_out_proof(r.output, ["text", "bucket"], ["test"])
+    return selection.held_out_proof(r.output, ["text", "bucket"], ["test"]).withColumnsRenamed({"column": "column_name", "values": "n_values"})
 
 
 @query()
@@ -719,7 +719,8 @@ def insert_and_siblings(spark, sf_dir):
     return sib.groupBy("sibling_variant").agg(F.count("*").alias("n"), F.count_if(F.substring("text", F.col("element_start") + 1, F.col("element_end") - F.col("element_start")).startswith("ID-")).alias("with_element"))
 
 
-@query()
+@query(f"""WITH {ROWS}, a AS (SELECT * FROM rows WHERE length(coalesce(text, '')) >= 100), d AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY occ) = 1 OR min(split) OVER (PARTITION BY k) <> max(split) OVER (PARTITION BY k) AS stays FROM a), n AS (SELECT count(*) AS n, greatest(1, floor(0.5 * count(*) + 0.5))::BIGINT AS kept FROM d WHERE stays)
+SELECT * FROM (SELECT 'length_band@1.0.0' AS operator, 'dropped' AS kind, 'length_out_of_band' AS reason_code, (SELECT count(*) FROM rows) - (SELECT count(*) FROM a) AS n UNION ALL SELECT 'dedup_exact@1.0.0', 'dropped', 'exact_duplicate', (SELECT count(*) FROM d WHERE NOT stays) UNION ALL SELECT 'sample@1.0.0', 'dropped', 'not_sampled', n - kept FROM n UNION ALL SELECT 'split@1.0.0', 'split_assigned', 'split_assigned', kept FROM n) WHERE n > 0""")
 def recipe_run(spark, sf_dir):
     steps = [
         {"operator": "length_band", "version": "1.0.0", "params": {"min_length": 100}}, {"operator": "dedup_exact", "version": "1.0.0", "params": {}}, {"operator": "sample", "version": "1.0.0", "params": {"mode": "fraction", "fraction": 0.5}},

@@ -19,7 +19,7 @@ def test_entry_lists_the_core_queries():
 
 
 def test_split_components_are_disjoint(spark, sf_dir):
-    assert {r["column"]: r["shared"] for r in core.split_components(spark, sf_dir).collect()} == {"text": 0, "bucket": 0}
+    assert {r["column_name"]: r["shared"] for r in core.split_components(spark, sf_dir).collect()} == {"text": 0, "bucket": 0}
 
 
 def test_directed_rows_are_held_out(spark, sf_dir):
