@@ -139,7 +139,7 @@ def dedup_units(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, longest, spans = [], [], []
-            for own, text, found in zip(b.column(key).to_pylist(), b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True):
+            for own, text, found in zip(b.column(key).to_pylist(), b.column(at).to_pylist(), (x.as_py() for x in b.column(b.num_columns - 1)), strict=True):
                 if not text or own is None:
                     text, gone, words = text, [], 0
                 else:
