@@ -19,8 +19,9 @@ a member (boilerplate, or a corpus so large that unrelated texts share triples)
 join: shingles ordered from rare to common, each text posts the prefix of which two texts at the
 threshold must share one shingle, and every two members of different groups there, of sizes that the
 threshold allows, are candidates. Short texts, whose few shingles make distances vary widely, take
-part in the exact join too. So no list is cut: a pair shares a list that is paired, or both take part
-in the exact join.
+part in the exact join too. Its own lists of over 65,536 members are dealt into blocks of members of
+like size, and every two blocks whose sizes may meet are compared in a task of their own. So no list is
+cut: a pair shares a list that is paired, or both take part in the exact join, which pairs every list.
 """
 
 from __future__ import annotations
@@ -44,6 +45,8 @@ FIRST, BUCKETS, SHORT = 16, 1 << 20, 32
 CELL = 256
 #: Pairs a member up to which a list is paired without and with fingerprints; members of a list that a task holds.
 PLAIN, PAIRED, HELD = 1, 1024, 1 << 16
+#: Members of a block of a longer list of the exact join: a task holds two blocks.
+BLOCK = 1 << 15
 _BYTES = BITS // 8
 _LANES = (np.arange(BITS // 64, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
 _SIGNS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float32) * 2 - 1
@@ -92,9 +95,9 @@ def radius(similarity: float, errors: float = 0.0) -> int:
     return math.floor(BITS * p + errors * math.sqrt(BITS * p * (1 - p)))
 
 
-def _whole_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, bool]]:
+def _whole_lists(batches: Iterator[pa.RecordBatch], most_held: int) -> Iterator[tuple[pa.Table, bool]]:
     """A stream sorted by its first column, cut anew so that no list (rows of one value) is parted; but
-    of a list over HELD members, parts, marked True, of which no two need be in memory together."""
+    of a list over most_held members, parts, marked True, of which no two need be in memory together."""
     held: list[pa.RecordBatch] = []
     spilt = None  # the key whose list is given out in parts
     for b in batches:
@@ -115,27 +118,26 @@ def _whole_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table,
             if held or cut:
                 yield pa.Table.from_batches([*held, b.slice(0, cut)]).combine_chunks(), False
             held = [b.slice(cut)]
-        if sum(x.num_rows for x in held) > HELD:
+        if sum(x.num_rows for x in held) > most_held:
             yield pa.Table.from_batches(held).combine_chunks(), True
             held, spilt = [], key[-1]
     if held:
         yield pa.Table.from_batches(held).combine_chunks(), False
 
 
-def _cross_pairs(batches: Iterator[pa.RecordBatch], bound: float, similarity: float, most: int | None = None) -> Iterator[pa.RecordBatch]:
+def _cross_pairs(batches: Iterator[pa.RecordBatch], bound: float, similarity: float, most: int | None = None, held: int = HELD) -> Iterator[pa.RecordBatch]:
     """(src, dst, key, d) of all members of a list that stand in different groups and whose sizes allow
     the similarity. Rows: key, grp, cid, size and, where distances of up to `most` bits are asked, fp.
 
     A list with more than bound pairs a member gives (member, null, key, null) instead, a list over
-    HELD members (member, null, null, null). Rows are sorted by key and grp. With distances, a pair
+    held members (member, null, key, -1). Rows are sorted by key and grp. With distances, a pair
     comes from the first table that it shares, and from no other.
     """
     names = ["src", "dst", "key", "d"]
-    for t, over in _whole_lists(batches):
+    for t, over in _whole_lists(batches, held):
         key, grp, cid, size = (t.column(i).to_numpy() for i in range(4))
         if over:
-            gone = np.unique(cid)
-            yield pa.RecordBatch.from_arrays([pa.array(gone), pa.nulls(len(gone), pa.int64()), pa.nulls(len(gone), pa.int64()), pa.nulls(len(gone), pa.int32())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(cid), pa.nulls(len(cid), pa.int64()), pa.array(key.astype(np.int64)), pa.array(np.full(len(cid), -1, dtype=np.int32))], names=names)
             continue
         new = np.concatenate([[True], key[1:] != key[:-1]])
         other = np.flatnonzero(new | np.concatenate([[True], grp[1:] != grp[:-1]]))
@@ -172,6 +174,70 @@ def _cross_pairs(batches: Iterator[pa.RecordBatch], bound: float, similarity: fl
     release()
 
 
+def _block_pairs(batches: Iterator[pa.RecordBatch], most: int, similarity: float) -> Iterator[pa.RecordBatch]:
+    """(src, dst, d) of the near pairs of members of different groups in cells of two blocks, or of one.
+    Rows: key, size classes and blocks of the cell, side (0 or 1), grp, cid, size, fp; sorted by the first six."""
+    cell, held = None, []
+
+    def meet() -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(held).combine_chunks()
+        side, grp, cid, size = (t.column(i).to_numpy() for i in range(5, 9))
+        fp = np.frombuffer(b"".join(t.column(9).to_pylist()), dtype=np.uint64).reshape(-1, BITS // 64)
+        one = cell[1] == cell[2] and cell[3] == cell[4]
+        parts = [np.flatnonzero(side == 0), np.flatnonzero(side == int(not one))]
+        left, right = (p[np.argsort(size[p], kind="stable")] for p in parts)
+        sizes = size[right]
+        for s in range(0, len(left), 64):
+            x = left[s : s + 64]
+            low, high = np.searchsorted(sizes, [similarity * size[x[0]] - 1e-9, size[x[-1]] / similarity + 1e-6])
+            for r in range(low, high, 1 << 13):
+                y = right[r : min(high, r + (1 << 13))]
+                d = np.zeros((len(x), len(y)), dtype=np.uint16)
+                for w in range(BITS // 64):
+                    d += np.bitwise_count(fp[x, w][:, None] ^ fp[y, w][None, :])
+                a, b = size[x][:, None], size[y][None, :]
+                fit = ((d <= most) | (np.minimum(a, b) <= SHORT)) & (np.minimum(a, b) >= similarity * np.maximum(a, b) - 1e-9) & (grp[x][:, None] != grp[y][None, :])
+                if one:
+                    fit &= cid[x][:, None] < cid[y][None, :]
+                i, j = np.nonzero(fit)
+                if len(i):
+                    yield pa.RecordBatch.from_arrays([pa.array(cid[x[i]]), pa.array(cid[y[j]]), pa.array(d[i, j].astype(np.int32))], names=["src", "dst", "d"])
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        at = np.stack([b.column(i).to_numpy() for i in range(5)])
+        cuts = [0, *(np.flatnonzero((at[:, 1:] != at[:, :-1]).any(axis=0)) + 1).tolist(), b.num_rows]
+        for s, e in zip(cuts, cuts[1:]):
+            this = tuple(at[:, s].tolist())
+            if held and this != cell:
+                yield from meet()
+                held = []
+            cell = this
+            held.append(b.slice(s, e - s))
+    if held:
+        yield from meet()
+    release()
+
+
+def _cells(lists: DataFrame, similarity: float, block: int) -> DataFrame:
+    """Rows of _block_pairs from (key, grp, cid, size, fp): members of like size are dealt into blocks, and
+    every two blocks of one list whose sizes may meet, or one with itself, make a cell."""
+    like = F.col("size").cast("int") if similarity >= 1 else F.floor(F.log(F.greatest("size", F.lit(1))) / -math.log(similarity) + 1e-9).cast("int")
+    d = lists.withColumn("g", like)
+    per = materialise(d.groupBy("key", "g").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "blocks")
+    d = d.join(per, ["key", "g"]).withColumn("i", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    rest = ["grp", "cid", "size", "fp"]
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias("j")
+    own = d.select("key", "g", "i", *rest, each("blocks"))
+    own = own.select("key", F.col("g").alias("g1"), F.col("g").alias("g2"), F.least("i", "j").alias("b1"), F.greatest("i", "j").alias("b2"), (F.col("i") > F.col("j")).cast("int").alias("side"), *rest)
+    beside = lambda step: d.join(per.select("key", (F.col("g") - step).alias("g"), F.col("blocks").alias("others")), ["key", "g"]).select("key", "g", "i", *rest, each("others"))
+    up = beside(1).select("key", F.col("g").alias("g1"), (F.col("g") + 1).alias("g2"), F.col("i").alias("b1"), F.col("j").alias("b2"), F.lit(0).alias("side"), *rest)
+    down = beside(-1).select("key", (F.col("g") - 1).alias("g1"), F.col("g").alias("g2"), F.col("j").alias("b1"), F.col("i").alias("b2"), F.lit(1).alias("side"), *rest)
+    cell = ["key", "g1", "g2", "b1", "b2"]
+    return own.unionByName(up).unionByName(down).repartition(*cell).sortWithinPartitions(*cell, "side")
+
+
 def _rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, text, th) of rows with an id; th tells texts of one id apart."""
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -295,7 +361,7 @@ def _grouped_rows(df: DataFrame, id_col: str, text_col: str, similarity: float,
     def lists(posts: DataFrame) -> DataFrame:
         return posts.repartition("key").sortWithinPartitions("key", "grp")
 
-    out = "src long, dst long, key long, d int"
+    out, held, block = "src long, dst long, key long, d int", HELD, BLOCK
     once = classes.select("fp", "cid").mapInArrow(lambda x: post(x, 0, FIRST), "key long, cid long")
     ends = materialise(once.groupBy("key").agg(F.min("cid").alias("low"), F.max("cid").alias("high")).where("low <> high"), "ends")
     met = once.join(ends, "key")
@@ -304,19 +370,23 @@ def _grouped_rows(df: DataFrame, id_col: str, text_col: str, similarity: float,
     so_far = connected_components(first).select(F.col("node").alias("cid"), F.col("root"))
     grouped = materialise(classes.join(so_far, "cid", "left").select("fp", F.coalesce("root", "cid").alias("grp"), "cid", "size"), "grouped")
     posts = grouped.mapInArrow(post, "key long, grp long, cid long, size int")
-    found = materialise(lists(posts).mapInArrow(lambda x: _cross_pairs(x, PLAIN, similarity), out), "pairs")
-    crowded = found.where("dst is null and key is not null").select(F.col("src").alias("cid")).distinct()
+    found = materialise(lists(posts).mapInArrow(lambda x: _cross_pairs(x, PLAIN, similarity, held=held), out), "pairs")
+    crowded = found.where("dst is null and d is null").select(F.col("src").alias("cid")).distinct()
     family = materialise(grouped.join(crowded, "cid", "left_semi").select(*grouped.columns).repartition("cid"), "family")
     again = family.mapInArrow(lambda x: post(x, 0, ALL, True), "key long, grp long, cid long, size int, fp binary")
-    inside = materialise(lists(again).mapInArrow(lambda x: _cross_pairs(x, PAIRED, similarity, most), out), "inside")
-    left = found.where("dst is null and key is null").unionByName(inside.where("dst is null")).select(F.col("src").alias("cid"))
+    inside = materialise(lists(again).mapInArrow(lambda x: _cross_pairs(x, PAIRED, similarity, most, held), out), "inside")
+    left = found.where("dst is null and d is not null").unionByName(inside.where("dst is null")).select(F.col("src").alias("cid"))
     exact = left.unionByName(classes.where(F.col("size").between(1, SHORT)).select("cid")).distinct()
     long = materialise(texts_of(exact).join(grouped.select("cid", "grp"), "cid").select("cid", "grp", "text").dropDuplicates(["cid"]), "long")
     often, counts = np.zeros(BUCKETS, dtype=np.int64), long.select("text").mapInArrow(tally, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).where("n > 1").toArrow()
     often[counts.column(0).to_numpy()] = counts.column(1).to_numpy()
-    exact_pairs = lists(long.mapInArrow(prefixes(often), "key long, grp long, cid long, size int")).mapInArrow(lambda x: _cross_pairs(x, math.inf, similarity), out)
+    exact_pairs = materialise(lists(long.mapInArrow(prefixes(often), "key long, grp long, cid long, size int")).mapInArrow(lambda x: _cross_pairs(x, math.inf, similarity, held=held), out), "exact")
+    longest = exact_pairs.where("dst is null").select("key", F.col("src").alias("cid"))
     pairs = ordered(found.where("dst is not null").unionByName(exact_pairs.where("dst is not null")))
     met = near(pairs).unionByName(ordered(inside.where("dst is not null"), "d")).distinct()  # short lists hold family too
+    if longest.limit(1).count():  # lists that no task holds
+        cells = _cells(longest.join(grouped, "cid").select("key", "grp", "cid", "size", "fp"), similarity, block)
+        met = met.unionByName(ordered(cells.mapInArrow(lambda x: _block_pairs(x, most, similarity), "src long, dst long, d int"), "d")).distinct()
     links = first.unionByName(linked(materialise(met, "met")))
     comps = connected_components(links).select(F.col("node").alias("cid"), "root")
     roots = classes.join(comps, "cid", "left").select("fp", "size", F.coalesce("root", "cid").alias("root"))
